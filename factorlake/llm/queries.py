@@ -17,6 +17,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_t(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    from pyspark.sql import functions as F
+
+    from .sentencepiece_sa import encode
+
+    e = encode(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -29,6 +45,24 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a first load of all documents and a repeated commit of the same batch, which changes nothing."""
+    from .common import new_path
+    from .token_counts import Rollup, changes
+
+    rollup = Rollup(spark, new_path(spark, "rollup"))
+    load = changes(_t(spark, sf_dir, "documents"), 1, "byte_bpe_50k")
+    rollup.commit("load", load)
+    rollup.commit("load", load)
+    return rollup.totals()
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_texts
+
+    return main_texts(_t(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
