@@ -31,7 +31,7 @@ from .common import crc_mod, local_shared, mix, text_chunks, word_hashes
 from .elias_fano import EliasFano, replace
 
 END = np.uint64(0x454E44)  # no word hashes are compared with it but by chance, as with any other word
-DISCOUNT = 0.85
+DISCOUNT = 0.75
 SHARD_BYTES = 24 << 20
 STEP = 6000.0  # codes to a factor of ten
 TOKENS = 1 << 21  # tokens looked up together

@@ -17,6 +17,12 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_t(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeats
+
+    return repeats(_t(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
