@@ -103,7 +103,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Documents without a hit, all columns kept."""
-    h = hits(docs, benchmark, n, broadcast_limit)
-    return h.where(F.size("__spans") == 0).select(*docs.columns)
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    bad = hits(docs.select(F.col(id_col).alias("__id"), mark.alias("__mark"), "text"), benchmark, n, broadcast_limit)
+    bad = bad.where(F.size("__spans") > 0).select("__id", "__mark")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]) & (mark == bad["__mark"]), "left_anti")

@@ -101,3 +101,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.col("first") & F.col("id").eqNullSafe(keep)).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of equal texts, all columns kept."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = docs.withColumn("__own", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    out = own.join(kept, own[id_col].eqNullSafe(kept["__id"]) & (own["__own"] == kept["__sha"]), "left_semi")
+    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():  # rows of one id and one text: one of them
+        out = out.dropDuplicates([id_col, "__own"])
+    return out.select(*docs.columns)
