@@ -7,6 +7,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.matrix import MatrixFrame
 from .models import NMF
@@ -42,7 +43,7 @@ def target(h: DataFrame, labels: DataFrame, k: int, whiten: bool = False) -> Dat
     c = c - c.mean(axis=0)
     if whiten and len(c) > 1:
         c = c @ _whitener(c, np.array([r["n"] for r in rows]))
-    table = h.sparkSession.createDataFrame([(r["label"], x.tolist()) for r, x in zip(rows, c)], labels.select("label").schema.add("t", "array<double>"))
+    table = h.sparkSession.createDataFrame([(r["label"], x.tolist()) for r, x in zip(rows, c)], labels.select("label").schema.add("t", T.ArrayType(T.DoubleType())))
     joined = h.select("j").join(labels, "j", "left").join(F.broadcast(table), "label", "left")
     return joined.select("j", F.coalesce("t", F.array(*[F.lit(0.0)] * k)).alias("t"))
 

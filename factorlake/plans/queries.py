@@ -374,9 +374,9 @@ def nmf_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checks(spark, _valid(nmf(supply(spark, sf_dir), 8, maxit=20, tol=0.0)))
 
 
-@query(_holds(*_VALID))
+@query(_holds(*_VALID[:4]))  # the plain loss need not fall where penalties are part of what is minimised
 def nmf_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checks(spark, _valid(nmf(supply(spark, sf_dir), 5, maxit=10, l1=(0.01, 0.01), l2=(0.1, 0.1), l21=(0.01, 0.01), angular=(0.001, 0.001), upper=(0.0, 0.0))))
+    return _checks(spark, _valid(nmf(supply(spark, sf_dir), 5, maxit=10, l1=(0.01, 0.01), l2=(0.1, 0.1), l21=(0.01, 0.01), angular=(0.001, 0.001)))[:4])
 
 
 @query(_holds(*_VALID))
@@ -653,14 +653,14 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured Streaming over the events, one available batch, complete mode."""
     path = _folder(spark)
     schema = table(spark, sf_dir, "events").schema
-    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the table may be one file or a folder
     counts = projection.windowed_counts(s)
 
     def keep(df: DataFrame, _: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/out")
 
     counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("start", "event_type", "n", r("total", 4).alias("total"))
+    return spark.read.parquet(f"{path}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4).alias("total"))
 
 
 @query(f"WITH {ACT_SQL}, w AS (SELECT i, 1.0::DOUBLE + (i * 7) % 5 AS w0 FROM (SELECT unnest(range(m)) AS i FROM dims)), g AS (SELECT sum(w0 * w0) AS g FROM w) SELECT j, round(sum(v * w0) / max(g), 6) AS h0 FROM a JOIN w USING (i), g GROUP BY j")

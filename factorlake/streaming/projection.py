@@ -68,5 +68,5 @@ class OnlineNMF:
 
 def windowed_counts(stream: DataFrame, ts: str = "ts", key: str = "event_type", window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(start, key, n, total): tumbling counts with a watermark; the samples of an activity matrix as they arrive."""
-    t = stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key)
+    t = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key)
     return t.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
