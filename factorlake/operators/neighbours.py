@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 REF_VALUES = 8_000_000  # numbers of the reference side held at once
+BLOCK_VALUES = 1_000_000  # x-rows * y-rows * width of the differences held at once
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = True, ref_values: int = REF_VALUES) -> DataFrame:
@@ -38,14 +39,21 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean",
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+def distances(x: np.ndarray, y: np.ndarray, metric: str, block_values: int = BLOCK_VALUES) -> np.ndarray:
     if metric == "cosine":
         u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-15)
         v = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-15)
         return 1 - u @ v.T
-    out = np.zeros((len(x), len(y)))
-    for a in range(0, len(x), 256):  # by differences, not by the expanded square, which loses near ties
-        out[a : a + 256] = np.sqrt((x[a : a + 256] ** 2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x[a : a + 256] @ y.T).clip(0) if y.size > 4_000_000 else np.sqrt(((x[a : a + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+    out = np.empty((len(x), len(y)))
+    width = max(1, x.shape[1])
+    rows = max(1, block_values // width)
+    for b in range(0, len(y), rows):  # by differences at every size: the expanded square loses near ties and equal vectors
+        part = y[None, b : b + rows, :]
+        step = max(1, block_values // (part.shape[1] * width))
+        for a in range(0, len(x), step):
+            d = x[a : a + step, None, :] - part
+            d *= d
+            out[a : a + step, b : b + rows] = np.sqrt(d.sum(axis=2))
     return out
 
 
