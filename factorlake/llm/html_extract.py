@@ -3,9 +3,9 @@
 Pages of one host are token streams made by one template. A wrapper starts as one page's stream, with runs of equal
 neighbouring groups folded into repeated groups, and is aligned with the next page's stream again and again: texts that
 differ become slots, and tokens that only one side has become optional groups. The wrapper never holds a union. It then
-names the host's main region: the article or main element, or else the deepest element that holds most of the slot text
-outside menus, headers, footers, sidebars, notices, adverts, forms and comments. Every page is read whole, by its host's
-region; a page without that region is its own template.
+names the host's main region: the article or main element, or else the smallest element that holds all slot text outside
+menus, headers, footers, sidebars, notices, adverts, forms and comments (never a list, table, pre or quotation). Every page
+is read whole, by its host's region; a page that has less than half of its text there is its own template.
 
 Wrappers are inferred from `sample` pages of a host at most (those with the smallest hash of their id), a documented bound
 of a fitted model. Wrappers are broadcast while their count is within `broadcast_limit`, and joined by a shuffle beyond it.
@@ -63,7 +63,7 @@ def _noise(tag: str, at: dict[str, str], inside: bool) -> bool:
 
 
 def _signature(tag: str, at: dict[str, str]) -> str:
-    return tag + "".join(f".{c}" for c in sorted(at.get("class", "").lower().split())) + (f"@{at['role'].lower()}" if at.get("role") else "")
+    return tag + "".join(f".{c}" for c in sorted(at.get("class", "").lower().split())) + (f"@{'-'.join(at['role'].lower().split())}" if at.get("role") else "")
 
 
 def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -93,29 +93,38 @@ class Walk:
     """Keeps the open elements of a stream, closing what HTML closes by itself."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, signature, noise, inside an article or main
+        self.stack: list[tuple[str, str, bool, bool, str]] = []  # tag, signature, noise, inside an article or main, path
+        self.closed: list[tuple[str, str, bool, bool, str]] = []  # what the last call closed, inner ones first
 
     def open(self, tag: str, at: dict[str, str]) -> None:
+        self.closed = []
         if tag in ENDS_P:
             self._end(("p",), ("table", "td", "th", "li", "blockquote", "article", "div"))
         if tag in CLOSES:
             self._end(CLOSES[tag], ("ul", "ol", "dl", "table", "menu", "article", "div", "section", "body"))
-        up = self.stack[-1] if self.stack else ("", "", False, False)
+        up = self.stack[-1] if self.stack else ("", "", False, False, "")
         if tag not in VOID:
-            self.stack.append((tag, _signature(tag, at), up[2] or _noise(tag, at, up[3]), up[3] or tag in ("article", "main") or at.get("role") == "main"))
+            sig = _signature(tag, at)
+            path = f"{up[4]} {sig}".lstrip() if tag in BLOCK else up[4]
+            self.stack.append((tag, sig, up[2] or _noise(tag, at, up[3]), up[3] or tag in ("article", "main") or at.get("role") == "main", path))
+
+    def _cut(self, k: int) -> None:
+        self.closed += self.stack[:k - 1 if k else None:-1]
+        del self.stack[k:]
 
     def _end(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in tags:
-                del self.stack[k:]
+                self._cut(k)
                 return
             if self.stack[k][0] in stop:
                 return
 
     def close(self, tag: str) -> None:
+        self.closed = []
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                del self.stack[k:]
+                self._cut(k)
                 return
             if self.stack[k][0] in ("article", "main", "body") and tag not in ("body", "html", "article", "main"):
                 return
@@ -124,24 +133,56 @@ class Walk:
 # ---------------------------------------------------------------- wrappers
 
 
-def stream(page: str) -> list:
-    """Nodes ["<", signature, noise], [">", tag], ["t", text, length], and ["+", nodes] for repeated groups."""
-    w, out = Walk(), []
+def read(page: str) -> list:
+    """Balanced nodes ["<", signature], [">", tag] of the block elements that hold text, and one ["t", text, length, path] for
+    each block's text; noise is left out. The path names the open block elements."""
+    w, out, now = Walk(), [], []
+
+    def end(path: str) -> None:
+        text = " ".join(html.unescape("".join(now)).split()) if now else ""
+        if text:
+            out.append(["t", text, len(text), path])
+        now.clear()
+
+    def closing(closed: list) -> None:
+        for c in closed:
+            if c[0] in BLOCK and not c[2]:
+                end(c[4])
+                if out and out[-1][0] == "<" and out[-1][1] == c[1] and c[0] not in VOID:
+                    out.pop()
+                else:
+                    out.append([">", c[0]])
+
     for kind, x, at in events(page):
+        if kind == "t":
+            if not (w.stack and w.stack[-1][2]):
+                now.append(x)
+            continue
+        if x in BLOCK:
+            end(w.stack[-1][4] if w.stack else "")
+        elif x == "br" and now:
+            now.append(" ")
         if kind == "<":
             w.open(x, at)
-            out.append(["<", _signature(x, at), _noise(x, at, bool(w.stack) and w.stack[-1][3])])
-        elif kind == ">":
+            closing(w.closed)
+            if x in BLOCK and not (w.stack and w.stack[-1][2]):
+                out.append(["<", _signature(x, at)])
+        else:
             w.close(x)
-            out.append([">", x])
-        elif text := " ".join(html.unescape(x).split()):
-            out.append(["t", text, len(text)])
-    return fold(out)
+            closing(w.closed)
+    end(w.stack[-1][4] if w.stack else "")
+    closing(w.stack[::-1])
+    return out
+
+
+def stream(page: str) -> list:
+    """The nodes of read(), with ["+", nodes] for repeated groups; a text that differs between turns is a slot ["s", "", length, path]."""
+    return fold(read(page))
 
 
 def shape(node: list) -> str:
-    if node[0] == "t" or node[0] == "s":
-        return "#"
+    if node[0] in "ts":
+        return "#" + node[3]
     if node[0] in "?+":
         return node[0] + "(" + " ".join(map(shape, node[1])) + ")"
     return node[0] + node[1]
@@ -182,7 +223,8 @@ def _balanced(nodes: list) -> bool:
 def _merge(a: list, b: list) -> list:
     """Two nodes of one shape; texts that differ become a slot."""
     if a[0] in "ts":
-        return a if a[0] == "t" == b[0] and a[1] == b[1] else ["s", "", a[2] + b[2]]
+        same = a[0] == "t" == b[0] and a[1] == b[1]
+        return ["t" if same else "s", a[1] if same else "", a[2] + b[2], a[3]]
     if a[0] in "?+":
         return [a[0], [_merge(x, y) for x, y in zip(a[1], b[1])]]
     return a
@@ -225,7 +267,7 @@ def align(wrapper: list, page: list) -> list:
         else:
             for side in (a[i0:i1], b[j0:j1]):
                 if side:
-                    body = _regroup([(x, m if m and m[0] == "+" else None) for x, m in side])
+                    body = _slots(_regroup([(x, m if m and m[0] == "+" else None) for x, m in side]))
                     out.append((["?", body], None))
     return fold(_regroup(out))
 
@@ -237,74 +279,72 @@ def infer(pages: list[str]) -> list:
     return wrapper
 
 
-def region(wrapper: list) -> str:
-    """Signature of the element that holds the main text; "" where there is no text at all."""
-    weight: dict[tuple[str, ...], float] = defaultdict(float)
-    path: list[tuple[str, bool]] = []
-
-    def visit(nodes: list) -> None:
-        for x in nodes:
-            if x[0] == "<" and x[1].split(".")[0].split("@")[0] not in VOID:
-                path.append((x[1], x[2] or bool(path) and path[-1][1]))
-            elif x[0] == ">":
-                for k in range(len(path) - 1, -1, -1):
-                    if path[k][0].split(".")[0].split("@")[0] == x[1]:
-                        del path[k:]
-                        break
-            elif x[0] in "?+":
-                visit(x[1])
-            elif x[0] in "ts" and not (path and path[-1][1]):
-                p = tuple(q for q, _ in path)
-                for k in range(1, len(p) + 1):
-                    weight[p[:k]] += x[2] * (1.0 if x[0] == "s" else 0.5)
-
-    visit(wrapper)
-    if not weight:
-        return ""
-    main = [p for p in weight if re.match(r"(article|main)\b|.*@main", p[-1])]
-    if main:
-        return max(main, key=lambda p: (p[-1].startswith("article"), weight[p], -len(p)))[-1]
-    total = max(weight.values())
-    held = [p for p in weight if weight[p] >= 0.6 * total and p[-1].split(".")[0].split("@")[0] in BLOCK and not re.match(r"(p|h[1-6]|li)\b", p[-1])]
-    return max(held, key=lambda p: (len(p), weight[p]), default=("",))[-1]
+def _texts(nodes: list) -> Iterator[list]:
+    for x in nodes:
+        if x[0] in "ts":
+            yield x
+        elif x[0] in "?+":
+            yield from _texts(x[1])
 
 
-def extract(page: str, where: str) -> str | None:
-    """Blocks of the region in page order, None if the page has no such region."""
-    w, blocks, now, found = Walk(), [], [], not where
+def _slots(nodes: list) -> list:
+    """The nodes with every text a slot: what only some pages have is no text of the template."""
+    return [["s", "", x[2], x[3]] if x[0] in "ts" else [x[0], _slots(x[1])] if x[0] in "?+" else x for x in nodes]
 
-    def end() -> None:
-        if now:
-            text = " ".join(html.unescape("".join(now)).split())
-            if text:
-                blocks.append(text)
-            now.clear()
 
-    for kind, x, at in events(page):
-        if kind == "t":
-            if w.stack and w.stack[-1][2]:
-                continue
-            if not where or any(s[1] == where for s in w.stack):
-                now.append(x)
-            continue
-        if x in BLOCK:
-            end()
-        elif x == "br" and now:
-            now.append(" ")
-        if kind == "<":
-            w.open(x, at)
-            found = found or bool(w.stack) and w.stack[-1][1] == where and not w.stack[-1][2]
-        else:
-            w.close(x)
-    end()
-    return "\n".join(blocks) if found else None
+def _tag(signature: str) -> str:
+    return re.split(r"[.@]", signature, maxsplit=1)[0]
+
+
+def region(wrapper: list, whole: bool = False) -> str:
+    """The main region: article or main (by signature, or by tag if there are several) where they hold half of the text, or else
+    "/" and the path of the smallest element that holds all of it; "" is the page. The text is that of the slots, or all of it if
+    there are none or `whole` is asked for."""
+    texts = list(_texts(wrapper))
+    if not whole:
+        texts = [x for x in texts if x[0] == "s"] or texts
+    total = sum(x[2] for x in texts)
+    paths = {x[3]: x[3].split() for x in texts}
+    for tag in ("article", "main"):
+        first = {p: next((q for q in parts if _is(q, tag)), None) for p, parts in paths.items()}
+        if 2 * sum(x[2] for x in texts if first[x[3]]) >= total > 0:
+            names = {q for q in first.values() if q}
+            return names.pop() if len(names) == 1 else tag
+    common: list[str] = []
+    for level in zip(*paths.values()):
+        if len(set(level)) > 1 or re.fullmatch(r"p|h[1-6]|li|ul|ol|table|dl|pre|blockquote", _tag(level[0])):
+            break
+        common.append(level[0])
+    return "/" + " ".join(common) if common else ""
+
+
+def _is(signature: str, tag: str) -> bool:
+    return _tag(signature) == tag or tag == "main" and signature.endswith("@main")
+
+
+def within(path: str, where: str) -> bool:
+    if where.startswith("/") or not where:
+        return not where or f"{path} ".startswith(where[1:] + " ")
+    return any(q == where or where in ("article", "main") and _is(q, where) for q in path.split())
+
+
+def extract(page: str, where: str) -> str | None:
+    """Blocks of the region in page order, None if the page has no text there."""
+    blocks = [x[1] for x in read(page) if x[0] == "t" and within(x[3], where)]
+    return "\n".join(blocks) if blocks or not where else None
 
 
 def main_text(page: str | None, where: str | None) -> str:
+    """Text of the region `where`, or of the page's own region if that holds less than half of the latter's text."""
     if not page:
         return ""
-    text = extract(page, where) if where else None
-    return text if text is not None else extract(page, region(stream(page))) or ""
+    texts = [x for x in read(page) if x[0] == "t"]
+    own = region(texts, whole=True)
+    mine = [x for x in texts if within(x[3], own)]
+    named = [x for x in texts if within(x[3], where)] if where else []
+    if 2 * sum(x[2] for x in named) >= sum(x[2] for x in mine):
+        mine = named
+    return "\n".join(x[1] for x in mine)
 
 
 # ---------------------------------------------------------------- Spark

@@ -49,3 +49,30 @@ def test_wrapper_has_slots_optional_and_repeated_groups():
 def test_article_with_noise_inside():
     t = '<html><body><article><header><h1>T</h1></header><p>one<br>two &lt;x&gt;</p><aside>no</aside><div class="share">no</div><table><tr><td>a<td>b</table></article></body></html>'
     assert main_text(t, "article") == "T\none two <x>\na\nb"
+
+
+def test_text_outside_the_biggest_block_stays():
+    rnd = random.Random(4)
+    words = lambda k: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.random()) for _ in range(k))
+    shapes = {
+        "title": ('<div id="content"><h1>{}</h1><div class="text"><p>{}</p></div></div>', (3, 60)),
+        "lead": ('<div class="c"><p>{}</p><div class="text"><p>{}</p><p>{}</p></div></div>', (9, 40, 40)),
+        "sections": ("<div><section class='a'><p>{}</p></section><section class='b'><p>{}</p></section></div>", (70, 30)),
+        "list": ('<div class="c"><div class="text"><p>{}</p></div><ul><li>{}</li><li>{}</li></ul></div>', (50, 5, 5)),
+    }
+    for form, sizes in shapes.values():
+        pages = []
+        for _ in range(6):
+            t = [words(k) for k in sizes]
+            pages.append(("<body><div class='menu'>m</div>" + form.format(*t) + "<footer>f</footer></body>", "\n".join(t)))
+        where = region(infer([p for p, _ in pages]))
+        assert [main_text(p, where) for p, _ in pages] == [w for _, w in pages]
+
+
+def test_a_long_list_page_is_no_region():
+    lists = "<body><div class='text'><ul>" + "".join(f"<li>item {i}</li>" for i in range(500)) + "</ul></div></body>"
+    prose = "<body><div class='text'><p>one</p><ul><li>a</li></ul><p>two</p></div></body>"
+    for tag in ("ul", "table", "dl", "pre", "blockquote"):
+        a, b = (x.replace("ul>", f"{tag}>") for x in (lists, prose))
+        where = region(infer([a, b]))
+        assert where == "/body div.text" and main_text(b, where) == "one\na\ntwo"
