@@ -5,10 +5,11 @@ neighbouring groups folded into repeated groups, and is aligned with the next pa
 differ become slots, and tokens that only one side has become optional groups. The wrapper never holds a union. It then
 names the host's main region: the article or main element, or else the smallest element that holds all slot text outside
 menus, headers, footers, sidebars, notices, adverts, forms and comments (never a list, table, pre or quotation). Every page
-is read whole, by its host's region; a page that has less than half of its text there is its own template.
+is read whole, by its template's region; a page that has less than half of its text there is its own template.
 
-Wrappers are inferred from `sample` pages of a host at most (those with the smallest hash of their id), a documented bound
-of a fitted model. Wrappers are broadcast while their count is within `broadcast_limit`, and joined by a shuffle beyond it.
+Wrappers are inferred from all pages: a template is a host and a page's own region, and has a wrapper of its own. Tasks merge
+pages of equal shape, and the shapes of a template are aligned in their order, first by `BUCKETS` groups. Regions are
+broadcast while the hosts that need them are within `broadcast_limit`, and joined by a shuffle beyond it.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; repeated rows are read each on
 its own; unclosed, misnested and cut off markup is read as far as it goes; an empty table gives no rows; extra columns are
@@ -20,18 +21,20 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import md5
+from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE = 8
 BROADCAST_LIMIT = 100_000
+BUCKETS = 64  # groups of shapes of one template that are aligned apart before they meet
+HELD_NODES = 300_000  # nodes that a task holds at once
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -250,6 +253,12 @@ def _regroup(flat: list) -> list:
         if run and len(run) == mark[3] and all(m and m[1] == mark[1] for _, m in run):
             out.append([mark[0], [x for x, _ in run]])
             i += len(run)
+        elif mark and mark[0] == "?":  # what is left of an optional group stays optional
+            j = i + 1
+            while j < len(flat) and flat[j][1] and flat[j][1][1:3] == (mark[1], mark[2] + j - i):
+                j += 1
+            out.append(["?", [x for x, _ in flat[i:j]]])
+            i = j
         else:
             out.append(flat[i][0])
             i += 1
@@ -273,12 +282,29 @@ def align(wrapper: list, page: list) -> list:
 
 
 def infer(pages: list[str]) -> list:
+    return join([stream(page) for page in pages])
+
+
+def join(parts: list[list]) -> list:
+    """One wrapper of several: equal shapes are merged first, the others aligned in the order of their shapes, so that the result
+    does not depend on the order of the parts."""
+    shapes: dict[str, list] = {}
+    for nodes in parts:
+        _put(shapes, shapes_of(nodes), nodes)
     wrapper: list = []
-    for k, page in enumerate(pages):
-        wrapper = align(wrapper, stream(page)) if k else stream(page)
+    for k, name in enumerate(sorted(shapes)):
+        wrapper = align(wrapper, shapes[name]) if k else shapes[name]
     return wrapper
 
 
+def shapes_of(nodes: list) -> str:
+    return "\n".join(map(shape, nodes))
+
+
+def _put(held: dict, name: object, nodes: list) -> None:
+    held[name] = [_merge(a, b) for a, b in zip(held[name], nodes)] if name in held else nodes
+
+
 def _texts(nodes: list) -> Iterator[list]:
     for x in nodes:
         if x[0] in "ts":
@@ -334,13 +360,15 @@ def extract(page: str, where: str) -> str | None:
     return "\n".join(blocks) if blocks or not where else None
 
 
-def main_text(page: str | None, where: str | None) -> str:
-    """Text of the region `where`, or of the page's own region if that holds less than half of the latter's text."""
+def main_text(page: str | None, where: str | dict[str, str] | None) -> str:
+    """Text of the region `where`, or of the page's own region if that holds less than half of the latter's text; a dictionary
+    gives the regions of the host's templates by their pages' own regions."""
     if not page:
         return ""
     texts = [x for x in read(page) if x[0] == "t"]
     own = region(texts, whole=True)
     mine = [x for x in texts if within(x[3], own)]
+    where = where.get(own) if isinstance(where, dict) else where
     named = [x for x in texts if within(x[3], where)] if where else []
     if 2 * sum(x[2] for x in named) >= sum(x[2] for x in mine):
         mine = named
@@ -354,30 +382,81 @@ def host(url: str = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, region, wrapper): one row per host."""
-    p = pages.select(host().alias("host"), F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("page_id", "url").alias("h"))
-    w = Window.partitionBy("host").orderBy("h", F.xxhash64("html"))
-    few = p.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).select("host", "n", "html")
-
-    def one(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["n"].to_pylist(), table["html"].to_pylist()))
-        wrapper = infer([x for _, x in rows])
-        return pa.table({"host": table["host"][:1], "region": [region(wrapper)], "wrapper": [json.dumps(wrapper, ensure_ascii=False)]})
+_PARTS = "host string, template string, bucket int, wrapper string, lo string, hi string"
+
+
+def _digest(text: str) -> str:
+    return md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:16]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (host, html) as wrappers, one for each host, template and shape; lo and hi tell whether there is more than one page."""
+    held: dict[tuple[str, str, str], list] = {}
+    ends: dict[tuple[str, str, str], tuple[str, str]] = {}
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        keys = list(held)
+        cols = [[k[0] for k in keys], [k[1] for k in keys], pa.array([crc32(k[2].encode("utf-8", "surrogatepass")) % BUCKETS for k in keys], pa.int32()), [json.dumps(held[k]) for k in keys], [ends[k][0] for k in keys], [ends[k][1] for k in keys]]
+        return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in cols], names=["host", "template", "bucket", "wrapper", "lo", "hi"])
+
+    for b in batches:
+        for name, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if not page:
+                continue
+            nodes = read(page)
+            template, whole = region(nodes, whole=True), _digest(page)
+            for x in nodes:
+                if x[0] == "t" and len(x[1]) > 32:
+                    x[1] = _digest(x[1])
+            nodes = fold(nodes)
+            key = (name, template, shapes_of(nodes))
+            size += 0 if key in held else len(nodes)
+            _put(held, key, nodes)
+            lo, hi = ends.get(key, (whole, whole))
+            ends[key] = (min(lo, whole), max(hi, whole))
+            if size > HELD_NODES:
+                yield rows()
+                held.clear()
+                ends.clear()
+                size = 0
+    if held:
+        yield rows()
+
+
+def _join_parts(table: pa.Table) -> pa.Table:
+    wrapper = join([json.loads(x) for x in table["wrapper"].to_pylist()])
+    row = {"host": table["host"][0].as_py(), "template": table["template"][0].as_py(), "bucket": 0, "wrapper": json.dumps(wrapper), "lo": min(table["lo"].to_pylist()), "hi": max(table["hi"].to_pylist())}
+    return pa.Table.from_pylist([row], schema=pa.schema([(k, pa.int32() if k == "bucket" else pa.string()) for k in row]))
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, template, region, wrapper) over all pages: one row per host and own region of its pages."""
+    p = pages.select(host().alias("host"), "html").mapInArrow(_parts, _PARTS)
+    p = p.groupBy("host", "template", "bucket").applyInArrow(_join_parts, _PARTS).groupBy("host", "template").applyInArrow(_join_parts, _PARTS)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:  # one page alone has no slots, and an article or main element is the region of its pages
+                named = r["template"].startswith("/") and r["lo"] != r["hi"]
+                r["region"] = region(json.loads(r["wrapper"])) if named else r["template"]
+            yield pa.record_batch([pa.array([r[k] for r in rows], pa.string()) for k in ("host", "template", "region", "wrapper")], names=["host", "template", "region", "wrapper"])
 
-    return few.groupBy("host").applyInArrow(one, "host string, region string, wrapper string")
+    return p.mapInArrow(one, "host string, template string, region string, wrapper string")
 
 
-def main_texts(pages: DataFrame, sample: int = SAMPLE, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def main_texts(pages: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    w = materialise(wrappers(pages, sample), "wrappers").select("host", "region")
+    w = materialise(wrappers(pages), "wrappers").where("region <> template")
+    w = w.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("template", "region"))).alias("regions"))
     few = w.limit(broadcast_limit + 1).count() <= broadcast_limit
     p = pages.select("page_id", "url", "html", host().alias("host"))
-    p = p.join(F.broadcast(w) if few else w, "host", "left").select("page_id", "url", "html", "region")
+    p = p.join(F.broadcast(w) if few else w, "host", "left").select("page_id", "url", "html", "regions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(x, r) for x, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            text = [main_text(x, dict(r or ())) for x, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"

@@ -76,3 +76,28 @@ def test_a_long_list_page_is_no_region():
         a, b = (x.replace("ul>", f"{tag}>") for x in (lists, prose))
         where = region(infer([a, b]))
         assert where == "/body div.text" and main_text(b, where) == "one\na\ntwo"
+
+
+def test_every_page_of_a_host_is_inferred_from(spark):
+    rnd = random.Random(8)
+    words = lambda k: " ".join(str(rnd.random()) for _ in range(k))
+    data, want = [], {}
+
+    def add(host, page_, text):
+        data.append((len(data), f"http://{host}/{len(data)}", f"<html><body>{page_}</body></html>"))
+        want[data[-1][0]] = text
+
+    for h in range(4):
+        for i in range(40):  # one page alone has another text in the line that seems to be the template's
+            line, a, b = "The daily" if i != 5 * h else "Only here", words(20), words(30)
+            add(f"line{h}", f'<div class="line">{line}</div><div class="text"><p>{a}</p><p>{b}</p></div>', f"{line}\n{a}\n{b}")
+        for i in range(20):  # the template's own text stays out where all pages agree
+            a = words(20)
+            add(f"same{h}", f'<div class="line">The daily</div><div class="text"><p>{a}</p></div>', a)
+        for i in range(30):  # a second template, with an article as a teaser beside the text
+            a, b = words(20), words(3)
+            other = i == 3 * h
+            add(f"two{h}", f'<article><p>{b}</p></article><div class="text"><p>{a}</p></div>' if other else f"<article><p>{a}</p></article>", f"{b}\n{a}" if other else a)
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    for parts in (1, 7):
+        assert {r.page_id: r.text for r in main_texts(df.repartition(parts)).collect()} == want
