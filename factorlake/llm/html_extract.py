@@ -26,6 +26,7 @@ from difflib import SequenceMatcher
 from hashlib import md5
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,10 +192,24 @@ def shape(node: list) -> str:
     return node[0] + node[1]
 
 
-def fold(nodes: list, longest: int = 12) -> list:
-    """Runs of two or more neighbouring groups of one shape become one repeated group, inner ones first."""
-    for size in range(1, longest + 1):
-        shapes, out, i = [shape(x) for x in nodes], [], 0
+def _tandem(ids: np.ndarray, size: int) -> bool:
+    """Whether two neighbouring groups of this size are equal."""
+    same = np.concatenate(([False], ids[:-size] == ids[size:], [False]))
+    edges = np.flatnonzero(same[1:] != same[:-1])
+    return bool(len(edges)) and int((edges[1::2] - edges[::2]).max()) >= size
+
+
+def fold(nodes: list) -> list:
+    """Runs of two or more neighbouring groups of one shape become one repeated group, inner ones first; groups of any size."""
+    size, known, shapes, ids = 0, None, [], np.empty(0, np.int64)
+    while 2 * (size := size + 1) <= len(nodes):
+        if known is not nodes:
+            names: dict[str, int] = {}
+            known, shapes = nodes, [shape(x) for x in nodes]
+            ids = np.array([names.setdefault(x, len(names)) for x in shapes])
+        if not _tandem(ids, size):
+            continue
+        out, i = [], 0
         while i < len(nodes):
             group = shapes[i : i + size]
             j = i + size
@@ -210,7 +225,7 @@ def fold(nodes: list, longest: int = 12) -> list:
             else:
                 out.append(nodes[i])
                 i += 1
-        nodes = out
+        nodes = nodes if len(out) == len(nodes) else out
     return nodes
 
 

@@ -101,3 +101,11 @@ def test_every_page_of_a_host_is_inferred_from(spark):
     df = spark.createDataFrame(data, "page_id long, url string, html string")
     for parts in (1, 7):
         assert {r.page_id: r.text for r in main_texts(df.repartition(parts)).collect()} == want
+
+
+def test_long_records_are_one_repeated_group():
+    record = "".join(f"<h2>{{0}}</h2><div class='c{i}'><p>{{0}}</p></div>" for i in range(9))  # 72 nodes
+    for n in (2, 3, 7):
+        got = stream("<article>" + "".join(record.format(k) for k in range(n)) + "</article>")
+        assert [x[0] for x in got] == ["<", "+", ">"] and len(got[1][1]) == 72
+        assert {x[0] for x in got[1][1]} == {"<", ">", "s"}
