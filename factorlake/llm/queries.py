@@ -64,14 +64,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after a first load of all documents and a repeated commit of the same batch, which changes nothing."""
-    from .common import new_path
-    from .token_counts import Rollup, changes
+    """Totals of all documents after a first edition of each (the first half of its text), a third deleted and put back, and a
+    revision of every row to its whole text; each batch is committed twice, which changes nothing, and all are compacted."""
+    from pyspark.sql import functions as F
+
+    from .common import crc_mod, new_path
+    from .token_counts import Rollup, changes, revised, with_tokens
 
+    version = "byte_bpe_50k"
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    first = docs.withColumn("text", F.expr("left(text, int(char_length(text) / 2))"))
+    third = first.where(crc_mod("doc_id", 3) == 0)
+    counts = docs.select("source", "lang", "text", F.expr("left(text, int(char_length(text) / 2))").alias("old"))
+    counts = with_tokens(with_tokens(counts, text="old").withColumnRenamed("n_tokens", "old_tokens")).withColumnRenamed("n_tokens", "new_tokens")
+    counts = counts.withColumn("old_chars", F.char_length("old")).withColumn("new_chars", F.char_length("text"))
     rollup = Rollup(spark, new_path(spark, "rollup"))
-    load = changes(_t(spark, sf_dir, "documents"), 1, "byte_bpe_50k")
-    rollup.commit("load", load)
-    rollup.commit("load", load)
+    batches = {"load": changes(first, 1, version), "delete": changes(third, -1, version), "put back": changes(third, 1, version), "revise": revised(counts, version)}
+    for name, signed in batches.items():
+        rollup.commit(name, signed)
+        rollup.commit(name, signed)
+    rollup.compact()
     return rollup.totals()
 
 

@@ -52,3 +52,26 @@ def test_unfinished_stage_is_not_seen(spark, tmp_path):
     df = spark.createDataFrame(rows(20), SCHEMA)
     changes(df, 1, "v1").write.parquet(f"file://{tmp_path}/r/staging/dead/data")
     assert totals(r) == {}
+
+
+def test_query_commits_deletes_and_revisions_of_the_whole_table(spark, tmp_path, monkeypatch):
+    from factorlake.llm.queries import op9_token_counts
+
+    data = rows(90) + [(500, "no source", None, None, 9)] * 2 + [(None, "no id é𝄞", "en", "s0", 8)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, compacted = [], []
+    commit, compact = Rollup.commit, Rollup.compact
+
+    def spy(self, name, signed):
+        done = commit(self, name, signed)
+        seen.append((name, done, *signed.agg(F.sum("n_docs"), F.sum("n_tokens")).first()))
+        return done
+
+    monkeypatch.setattr(Rollup, "commit", spy)
+    monkeypatch.setattr(Rollup, "compact", lambda self: compacted.append(1) or compact(self))
+    got = {(x.source, x.lang): [x.n_docs, x.n_tokens, x.n_chars] for x in op9_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {k[:2]: v for k, v in brute(data).items()}
+    assert [done for _, done, *_ in seen] == [True, False] * 4 and compacted
+    n = {name: (docs, tokens) for name, _, docs, tokens in seen}
+    assert n["load"][0] == len(data) and 0 < -n["delete"][0] < len(data) and n["delete"][1] < 0
+    assert n["put back"] == tuple(-x for x in n["delete"]) and n["revise"][0] == 0 < n["revise"][1]
