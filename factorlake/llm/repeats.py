@@ -3,17 +3,21 @@
 Sorting all suffixes of a large corpus would move every byte many times. Each window of `length` bytes is instead named by
 the leftmost smallest hash of a `gram`-byte string inside it, its anchor: equal windows have equal anchors at equal places.
 So only the suffixes that start at anchors are sorted, and of these only the ones whose anchor string occurs twice or more,
-with the text around them that their windows cover. Suffixes (and, reversed, the prefixes before them) are put in order by
-deep-shallow sorting: multikey quicksort on eight bytes at a time to a shallow depth, then a blind trie for each group that
-still agrees. Common-prefix lengths of neighbours then tell, for each place of a window around the anchor, which suffixes
-agree before and after it far enough; those windows are the repeated ones. Results are exact to 128-bit digests of equal
-contexts.
+with the text around them that their windows cover, each distinct context once. Suffixes (and, reversed, the prefixes before
+them) are put in order by deep-shallow sorting: multikey quicksort on eight bytes at a time to a shallow depth, then a blind
+trie for each group that still agrees. Common-prefix lengths of neighbours then tell, for each place of a window around the
+anchor, which suffixes agree before and after it far enough; those windows are the repeated ones. Results are exact to
+128-bit digests of equal contexts and equal texts.
 
-An anchor string with more than `hot` occurrences does not meet in one task: its windows are counted by 128-bit digests with
-partial sums instead, an exact way for any size of group.
+An anchor string with more than `hot` distinct contexts does not meet in one task. Its windows are halved by the bytes they
+have before the anchor, each context being cut to what the windows of a half cover; windows of one half that are equal share
+the bytes that all its windows cover, so the half's contexts part by those bytes. Halves that are still too large are halved
+again; contexts that have become equal are one from then on. The same sorting solves the parts.
 
-Defined results: null counts as empty; texts under `length` bytes keep all; repeated rows are repeats of each other; a null id
-is an id of its own; an empty table gives no rows; extra columns are not read.
+Equal texts are one text, found again by its digest; of two or more rows every byte is repeated if it has `length` of them.
+
+Defined results: null counts as empty; texts under `length` bytes keep all; repeated rows are repeats of each other; ids are
+not read but returned, so null and repeated ids are as any other; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from .common import _BYTE, _powers, materialise, mix, text_chunks
 LENGTH = 400
 GRAM = 48
 SHALLOW = 64  # bytes sorted by multikey quicksort
-HOT = 50_000
+HOT = 4096  # distinct contexts of one anchor string that are sorted together
 BATCH = 24 << 20  # bytes of contexts sorted together
 POS = np.uint64((1 << 20) - 1)
 SEGMENT = 1 << 20
@@ -232,119 +236,201 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, times: np.ndarra
 
 # ---------------------------------------------------------------- Spark
 
-_ANCHOR = "h long, did long, th long, pos int, lo int, hi int"
+
+def _fresh(t1: pa.Array, t2: pa.Array, seen: set) -> np.ndarray:
+    """Rows whose text the task has not met; `seen` only saves work, so it may forget."""
+    if len(seen) > 1_000_000:
+        seen.clear()
+    out = []
+    for k, key in enumerate(zip(t1.to_pylist(), t2.to_pylist())):
+        if key not in seen:
+            seen.add(key)
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t1, t2, text) without the copies inside a task."""
+    seen: set = set()
+    for b in batches:
+        yield b.take(pa.array(_fresh(b.column(0), b.column(1), seen)))
+
+
+_ANCHOR = "h long, t1 long, t2 long, pos int, lo int, hi int"
 
 
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            did, th = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for b in _once(batches):
+            t1, t2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             for lo, _, data, offs in text_chunks(b.column(2)):
                 row, p, first, last, g = anchors(data, offs, length, gram)
-                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(did[lo + row]), pa.array(th[lo + row]), *(pa.array(x.astype(np.int32)) for x in (p, first, last))], names=["h", "did", "th", "pos", "lo", "hi"])
+                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(t1[lo + row]), pa.array(t2[lo + row]), *(pa.array(x.astype(np.int32)) for x in (p, first, last))], names=["h", "t1", "t2", "pos", "lo", "hi"])
 
     return run
 
 
-_CONTEXT = "h long, did long, th long, pos int, before int, c1 long, c2 long, context binary"
-_WINDOW = "f1 long, f2 long, did long, th long, at int"
+def _longs(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """128-bit digests as two columns."""
+    d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(d[:, 0]), pa.array(d[:, 1])
+
 
+_CONTEXT = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("n", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("pos", pa.int32())])
+_CONTEXT_SQL = "g1 long, g2 long, k1 long, k2 long, before int, context binary, n long, t1 long, t2 long, pos int"
 
-def _contexts(length: int, windows: bool):
-    """Rows (doc_id, did, th, text, list) in, contexts out; a context that the task has sent already goes by its digest."""
+
+def _contexts(length: int):
+    """Rows (t1, t2, text, list) in. Out: each context that the task has met, with its count (g1: the anchor's hash, g2: 0); and
+    each place of a context (t1, t2, pos), without bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set = set()
+        held: dict[bytes, list] = {}
+        size = 0
+
+        def met() -> pa.RecordBatch:
+            h, before, ctx, n = zip(*held.values())
+            none = pa.nulls(len(held), pa.int64())
+            return pa.record_batch([pa.array(h, pa.int64()), pa.array(np.zeros(len(h), np.int64)), *_longs(list(held)), pa.array(before, pa.int32()), pa.array(ctx, pa.binary()), pa.array(n, pa.int64()), none, none, pa.nulls(len(held), pa.int32())], schema=_CONTEXT)
+
         for b in batches:
-            h, did, th, pos, before, digest, ctx = [], [], [], [], [], [], []
-            f, w_did, w_th, w_at = [], [], [], []
-            for k in range(b.num_rows):
-                text = (b.column(3)[k].as_py() or "").encode()
-                d, t = b.column(1)[k].as_py(), b.column(2)[k].as_py()
-                for a in b.column(4)[k].as_py():
-                    if windows:
-                        for s in range(a["lo"], a["hi"] + 1):
-                            f.append(xxhash.xxh3_128_digest(text[s : s + length]))
-                            w_at.append(s)
-                        w_did += [d] * (a["hi"] - a["lo"] + 1)
-                        w_th += [t] * (a["hi"] - a["lo"] + 1)
-                        continue
+            keys, t1, t2, pos = [], [], [], []
+            for k in _fresh(b.column(0), b.column(1), seen).tolist():
+                text = b.column(2)[k].as_py().encode()
+                at = b.column(3)[k].as_py()
+                for a in at:
                     c = text[a["lo"] : a["hi"] + length]
-                    x = xxhash.xxh3_128_digest(c + (a["pos"] - a["lo"]).to_bytes(4, "little"))
-                    h.append(a["h"]), did.append(d), th.append(t), pos.append(a["pos"]), before.append(a["pos"] - a["lo"]), digest.append(x)
-                    ctx.append(None if x in seen else c)
-                    seen.add(x)
-            if len(seen) > 1_000_000:  # memory only: a context sent again is merged later
-                seen.clear()
-            if windows:
-                d2 = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(d2[:, 0]), pa.array(d2[:, 1]), pa.array(w_did, pa.int64()), pa.array(w_th, pa.int64()), pa.array(w_at, pa.int32())], names=["f1", "f2", "did", "th", "at"])
-            else:
-                d2 = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(h, pa.int64()), pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.int32()), pa.array(d2[:, 0]), pa.array(d2[:, 1]), pa.array(ctx, pa.binary())], names=["h", "did", "th", "pos", "before", "c1", "c2", "context"])
+                    before = a["pos"] - a["lo"]
+                    x = xxhash.xxh3_128_digest(c + before.to_bytes(4, "little"))
+                    keys.append(x), pos.append(a["pos"])
+                    if x in held:
+                        held[x][3] += 1
+                    else:
+                        held[x] = [a["h"], before, c, 1]
+                        size += len(c) + 200
+                t1 += [b.column(0)[k].as_py()] * len(at)
+                t2 += [b.column(1)[k].as_py()] * len(at)
+            none = pa.nulls(len(keys), pa.int64())
+            yield pa.record_batch([none, none, *_longs(keys), pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary()), none, pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(pos, pa.int32())], schema=_CONTEXT)
+            if size > 2 * BATCH:
+                yield met()
+                held, size = {}, 0
+        if held:
+            yield met()
 
     return run
 
 
-_SPAN = "did long, th long, start int, stop int"
+_SOLVED = "k1 long, k2 long, top int, low int"
 
 
-def _spans(length: int):
-    """Rows sorted by anchor hash in; groups are taken whole, and sorted together while they are small."""
+def _solve(length: int):
+    """Rows (g1, g2, k1, k2, before, context, n) sorted by g in; groups are taken whole, and sorted together while they are small."""
 
-    def solve(h: list, did: list, th: list, pos: list, c: list, text: dict) -> pa.RecordBatch:
-        index, times, owner = {}, [], []
-        for x in c:
-            k = index.setdefault(x, len(index))
-            if k == len(times):
-                times.append(0)
-            times[k] += 1
-            owner.append(k)
-        keys, times = list(index), np.array(times)
-        hs = np.zeros(len(keys), np.int64)
-        hs[owner] = h
-        _, inv, many = np.unique(hs, return_inverse=True, return_counts=True)
+    def solve(held: dict[bytes, list]) -> pa.RecordBatch:
+        keys = list(held)
+        group, before, ctx, n = zip(*held.values())
+        _, inv, many = np.unique(np.array(group), return_inverse=True, return_counts=True)
         need = np.flatnonzero(many[inv] > 1)  # alone in its group: only its own copies count
-        before = np.array([text[k][1] for k in keys], np.int64)
-        size = np.array([len(text[k][0]) for k in keys], np.int64)
+        before, times = np.array(before, np.int64), np.array(n, np.int64)
+        size = np.array([len(c) for c in ctx], np.int64)
         top = np.where(times > 1, before, -1)
         low = np.where(times > 1, np.maximum(0, length - (size - before)), -1)
         if len(need):
-            top[need], low[need] = repeated_windows([text[keys[k]][0] for k in need.tolist()], before[need], times[need], length)
-        own = np.array(owner)
-        keep = np.flatnonzero(top[own] >= 0)
-        p = np.array(pos, np.int64)[keep]
-        return pa.record_batch([pa.array(np.array(did, np.int64)[keep]), pa.array(np.array(th, np.int64)[keep]), pa.array((p - top[own[keep]]).astype(np.int32)), pa.array((p - low[own[keep]] + length).astype(np.int32))], names=["did", "th", "start", "stop"])
+            top[need], low[need] = repeated_windows([ctx[k] for k in need.tolist()], before[need], times[need], length)
+        hit = np.flatnonzero(top >= 0)
+        return pa.record_batch([*_longs([keys[k] for k in hit.tolist()]), pa.array(top[hit].astype(np.int32)), pa.array(low[hit].astype(np.int32))], names=["k1", "k2", "top", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in range(5)]
-        text: dict[bytes, tuple[bytes, int]] = {}
-        held, last = 0, None
+        held: dict[bytes, list] = {}
+        size, last, group = 0, None, -1
         for b in batches:
-            digest = np.stack([b.column(5).to_numpy(), b.column(6).to_numpy()], axis=1).tobytes()
-            h = b.column(0).to_pylist()
-            rest = [b.column(k).to_pylist() for k in (1, 2, 3, 4)]
-            ctx = b.column(7)
-            for k, x in enumerate(h):
-                if x != last and held + 200 * len(cols[0]) >= BATCH:
-                    yield solve(*cols, text)
-                    cols, text, held = [[] for _ in range(5)], {}, 0
-                last = x
+            digest = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1).tobytes()
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist())
+            for k, (g1, g2, before, c, n) in enumerate(rows):
+                if (g1, g2) != last:
+                    if size >= BATCH:
+                        yield solve(held)
+                        held, size = {}, 0
+                    last, group = (g1, g2), group + 1
                 key = digest[16 * k : 16 * k + 16]
-                for col, v in zip(cols, (x, rest[0][k], rest[1][k], rest[2][k], key)):
-                    col.append(v)
-                if key not in text and ctx[k].is_valid:
-                    c = ctx[k].as_py()
-                    text[key] = (c, rest[3][k])
-                    held += len(c)
-        if cols[0]:
-            yield solve(*cols, text)
+                if key in held:
+                    held[key][3] += n
+                else:
+                    held[key] = [group, before, c, n]
+                    size += len(c) + 200
+        if held:
+            yield solve(held)
 
     return run
 
 
+def _halves(length: int):
+    """Rows (c1, c2, before, context, w1, w2) in, one row out for each half of the windows w1..w2 (bytes before the anchor) that
+    the context has: the context cut to them, its digest k, and the digest g of the bytes that all windows of the half cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, g, d = [], [], []
+            for c1, c2, before, x, w1, w2 in zip(*(b.column(k).to_pylist() for k in range(6))):
+                mid = (w1 + w2) // 2
+                for a, z in {(w1, mid), (mid + 1, w2)}:
+                    lo, hi = max(a, length - (len(x) - before)), min(z, before)
+                    if lo > hi:
+                        continue
+                    cut, mark = x[before - hi : before - lo + length], b"%d %d " % (a, z)
+                    g.append(xxhash.xxh3_128_digest(mark + x[before - a : before + length - z]))
+                    d.append(xxhash.xxh3_128_digest(mark + b"%d " % hi + cut))
+                    out.append((c1, c2, hi, cut, a, z))
+            c1, c2, before, cut, a, z = zip(*out) if out else ((),) * 6
+            yield pa.record_batch([*_longs(g), *_longs(d), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(before, pa.int32()), pa.array(cut, pa.binary()), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["g1", "g2", "k1", "k2", "c1", "c2", "before", "context", "w1", "w2"])
+
+    return run
+
+
+def _sorted(contexts: DataFrame, length: int) -> DataFrame:
+    rows = contexts.select("g1", "g2", "k1", "k2", "before", "context", "n")
+    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_solve(length), _SOLVED)
+
+
+def _split(contexts: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """(contexts of groups of up to `hot` distinct ones, the large groups or None). The list of large groups is short: it is
+    broadcast while it has 100,000 rows at most."""
+    big = materialise(contexts.groupBy("g1", "g2").agg(F.count("*").alias("distinct")).where(F.col("distinct") > hot).select("g1", "g2"), "large-groups")
+    n = big.count()
+    if not n:
+        return contexts, None
+    big = F.broadcast(big) if n <= 100_000 else big
+    return contexts.join(big, ["g1", "g2"], "left_anti"), big
+
+
+def solved(contexts: DataFrame, length: int, width: int, hot: int) -> DataFrame:
+    """Contexts (g1, g2, k1, k2, before, context, n) with repeated windows: (k1, k2, top, low), a row for each part of the windows."""
+    small, big = _split(contexts, hot)
+    out = _sorted(small, length)
+    if big is None:
+        return out
+    one = [F.min(c).alias(c) for c in ("before", "context")]
+    rest = contexts.join(big, ["g1", "g2"]).groupBy(F.col("k1").alias("c1"), F.col("k2").alias("c2")).agg(*one, F.sum("n").alias("n"))
+    rest = materialise(rest, "large")
+    twice = rest.where("n > 1").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("before").alias("top"), F.greatest(F.lit(0), length - (F.octet_length("context") - F.col("before"))).cast("int").alias("low"))
+    out = out.unionByName(twice)
+    rest = rest.withColumn("w1", F.lit(0)).withColumn("w2", F.lit(width - 1))
+    while big is not None:
+        schema = "g1 long, g2 long, k1 long, k2 long, c1 long, c2 long, before int, context binary, w1 int, w2 int"
+        parts = materialise(rest.select("c1", "c2", "before", "context", "w1", "w2").mapInArrow(_halves(length), schema), "halves")
+        reps = materialise(parts.groupBy("g1", "g2", "k1", "k2").agg(*one, F.count("*").alias("n")), "distinct")
+        small, big = _split(reps, hot)
+        found = _sorted(small, length)
+        out = out.unionByName(parts.join(found, ["k1", "k2"]).select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "top", "low"))
+        if big is not None:
+            rest = parts.join(big, ["g1", "g2"], "left_semi")
+    return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, did, th, text, list of spans) in; kept text and the figures out."""
+    """(doc_id, t1, t2, text, list of spans) in; kept text and the figures out."""
     for b in batches:
         kept, rows = [], []
         for t, spans in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
@@ -370,20 +456,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop in bytes)."""
     gram = min(gram, max(1, length // 2))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    a = materialise(d.select("did", "th", "text").mapInArrow(_anchor_rows(length, gram), _ANCHOR), "anchors")
-    seen = a.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
-    a = a.join(seen, "h").withColumn("is_hot", F.col("times") > hot)
-    lists = a.groupBy("did", "th", "is_hot").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("list"))
-    both = d.join(lists, ["did", "th"]).select("doc_id", "did", "th", "text", "list", "is_hot")
-    cold = both.where(~F.col("is_hot")).drop("is_hot").mapInArrow(_contexts(length, False), _CONTEXT)
-    spans = cold.repartition("h").sortWithinPartitions("h", F.col("context").isNull()).mapInArrow(_spans(length), _SPAN)
-    if seen.where(F.col("times") > hot).limit(1).count():
-        w = both.where("is_hot").drop("is_hot").mapInArrow(_contexts(length, True), _WINDOW)
-        w = materialise(w, "windows")
-        twice = w.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2")
-        spans = spans.unionByName(w.join(twice, ["f1", "f2"]).select("did", "th", F.col("at").alias("start"), (F.col("at") + length).alias("stop")))
-    found = spans.groupBy("did", "th").agg(F.collect_set(F.struct("start", "stop")).alias("list"))
-    out = d.join(found, ["did", "th"], "left").select("doc_id", "did", "th", "text", "list")
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
+    t = d.select("t1", "t2", "text").where(F.octet_length("text") >= length)
+    a = materialise(t.mapInArrow(_anchor_rows(length, gram), _ANCHOR), "anchors")
+    seen = a.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    lists = a.join(seen, "h").groupBy("t1", "t2").agg(F.collect_set(F.struct("h", "pos", "lo", "hi")).alias("list"))
+    both = t.mapInArrow(_once, "t1 long, t2 long, text string").join(lists, ["t1", "t2"]).select("t1", "t2", "text", "list")
+    c = materialise(both.mapInArrow(_contexts(length), _CONTEXT_SQL), "contexts")
+    windows = solved(c.where("n is not null"), length, length - gram + 1, hot)
+    spans = c.where("n is null").select("t1", "t2", "pos", "k1", "k2").join(windows, ["k1", "k2"])
+    spans = spans.select("t1", "t2", (F.col("pos") - F.col("top")).alias("start"), (F.col("pos") - F.col("low") + length).alias("stop"))
+    copies = t.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("stop")).where("n > 1")
+    spans = spans.unionByName(copies.select("t1", "t2", F.lit(0).alias("start"), "stop"))
+    found = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("list"))
+    out = d.join(found, ["t1", "t2"], "left").select("doc_id", "t1", "t2", "text", "list")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>"
     return out.mapInArrow(_cut, schema).withColumnRenamed("doc_id", id_col)

@@ -21,7 +21,7 @@ def brute(data, length):
                 gone[s : s + length] = b"\1" * length
         kept = bytes(x for x, g in zip(r, gone) if not g)
         out.append((i, len(r), sum(gone), sum(g and not p for g, p in zip(gone, b"\0" + gone)), hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def corpus():
@@ -35,11 +35,11 @@ def corpus():
     return data
 
 
-@pytest.mark.parametrize("length,hot", [(50, 10**9), (50, 3), (13, 10**9), (400, 10**9)])
+@pytest.mark.parametrize("length,hot", [(50, 10**9), (50, 3), (50, 1), (13, 2), (13, 10**9), (400, 10**9)])
 def test_matches_brute_force(spark, length, hot):
     data = corpus()
-    df = spark.createDataFrame(data, SCHEMA).selectExpr("*", "1 as h", "2 as did", "3 as spans").repartition(4)
-    got = sorted(tuple(r)[:5] for r in repeats(df, length=length, gram=max(3, length // 6), hot=hot).collect())
+    df = spark.createDataFrame(data, SCHEMA).selectExpr("*", "1 as t1", "2 as k1", "3 as spans").repartition(4)
+    got = sorted((tuple(r)[:5] for r in repeats(df, length=length, gram=max(3, length // 6), hot=hot).collect()), key=str)
     assert got == brute(data, length)
 
 
@@ -51,6 +51,16 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert repeats(df.limit(0)).count() == 0
 
 
+def test_many_rows_of_one_id_and_text(spark):
+    rnd = random.Random(5)
+    t = "".join(rnd.choice("abcdefgh ") for _ in range(1090))
+    rest = [(k + 10, t[:700] + str(k)) for k in range(60)] + [(None, t), (7, t[:399])]
+    df = spark.createDataFrame([(1, t)] * 10_000 + rest, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r)[:5] for r in repeats(df, hot=8).collect())
+    want = Counter(dict.fromkeys(brute([(1, t)] * 2 + rest, 400), 1))
+    assert got == want | {next(x for x in want if x[0] == 1): 10_000}
+
+
 def test_anchors_of_long_rows_cover_every_window():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, (1 << 20) + 5000).astype(np.uint8)
