@@ -460,7 +460,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
     t = d.select("t1", "t2", "text").where(F.octet_length("text") >= length)
     a = materialise(t.mapInArrow(_anchor_rows(length, gram), _ANCHOR), "anchors")
-    seen = a.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    # written, so that the join reads both sides from a shuffle and a common anchor string's rows can be dealt out
+    seen = materialise(a.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "repeated-anchors")
     lists = a.join(seen, "h").groupBy("t1", "t2").agg(F.collect_set(F.struct("h", "pos", "lo", "hi")).alias("list"))
     both = t.mapInArrow(_once, "t1 long, t2 long, text string").join(lists, ["t1", "t2"]).select("t1", "t2", "text", "list")
     c = materialise(both.mapInArrow(_contexts(length), _CONTEXT_SQL), "contexts")
@@ -469,7 +470,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     spans = spans.select("t1", "t2", (F.col("pos") - F.col("top")).alias("start"), (F.col("pos") - F.col("low") + length).alias("stop"))
     copies = t.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("stop")).where("n > 1")
     spans = spans.unionByName(copies.select("t1", "t2", F.lit(0).alias("start"), "stop"))
-    found = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("list"))
+    found = materialise(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("list")), "spans")
     out = d.join(found, ["t1", "t2"], "left").select("doc_id", "t1", "t2", "text", "list")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>"
     return out.mapInArrow(_cut, schema).withColumnRenamed("doc_id", id_col)
