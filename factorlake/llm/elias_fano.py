@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 
@@ -129,6 +130,6 @@ class EliasFano:
 
 def replace(path: str, write) -> None:
     """Write a file under another name first, so that a repeated task never leaves half a file."""
-    tmp = f"{path}.{os.getpid()}.tmp"
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
     write(tmp)
     os.replace(tmp, path)
