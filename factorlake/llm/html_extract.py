@@ -21,6 +21,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from hashlib import md5
@@ -37,17 +39,21 @@ BROADCAST_LIMIT = 100_000
 BUCKETS = 64  # groups of shapes of one template that are aligned apart before they meet
 HELD_NODES = 300_000  # nodes that a task holds at once
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # fixed values: element names of the HTML standard by their role
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
-NOISE_TAGS = frozenset("nav aside form footer head menu dialog fieldset label input".split()) | RAW
+NOISE_TAGS = frozenset("nav aside form footer head select option button".split()) | RAW
+OUTER_NOISE_TAGS = frozenset("header menu dialog fieldset label input".split())  # noise outside an article or main only
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-NOISE_WORDS = frozenset("ad ads advert adverts advertisement adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead topbar notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist reply replies disqus related share sharing social newsletter subscribe signup login search widget pagination pager toolbar".split())
+# words of class and id that name what is no article; the weak ones give way where hardly any text is left without them
+STRONG_WORDS = frozenset("ad ads advert adverts advertisement adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr comment comments commentlist reply replies disqus newsletter subscribe signup login pagination pager".split())
+WEAK_WORDS = frozenset("sidebar side header masthead topbar notice notices alert popup modal overlay related share sharing social search widget toolbar".split())
+STATE_WORDS = frozenset("has with no is without not js open closed visible enabled disabled".split())  # a token that tells of a state, not of a part
 
 
 def _attrs(s: str) -> dict[str, str]:
@@ -55,15 +61,21 @@ def _attrs(s: str) -> dict[str, str]:
 
 
 def _noise(tag: str, at: dict[str, str], inside: bool) -> bool:
-    if tag in NOISE_TAGS or (tag == "header" and not inside):
+    """What is no article for certain: by the element, its role, or as it is hidden."""
+    if tag in NOISE_TAGS or (tag in OUTER_NOISE_TAGS and not inside):
         return True
+    return bool(at) and (at.get("role", "").lower() in NOISE_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", at.get("style", ""))))
+
+
+def _suspect(tag: str, at: dict[str, str]) -> int:
+    """2 and 1 for strong and weak words of class and id, 0 for none."""
     if not at:
-        return False
-    if at.get("role", "").lower() in NOISE_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", "")):
-        return True
-    if tag in ("html", "body", "article", "main") and not {"comment", "comments", "reply"} & set(re.split(r"[^a-z0-9]+", at.get("class", "").lower())):
-        return False
-    return bool(NOISE_WORDS & set(re.split(r"[^a-z0-9]+", f"{at.get('class', '')} {at.get('id', '')}".lower())))
+        return 0
+    tokens = [set(re.split(r"[^a-z0-9]+", x)) for x in f"{at.get('class', '')} {at.get('id', '')}".lower().split()]
+    words = set().union(*[x for x in tokens if len(x) == 1 or not x & STATE_WORDS], set())
+    if tag in ("html", "body", "article", "main"):
+        return 2 * bool(words & {"comment", "comments", "reply"})
+    return 2 if words & STRONG_WORDS else 1 if words & WEAK_WORDS else 0
 
 
 def _signature(tag: str, at: dict[str, str]) -> str:
@@ -76,18 +88,19 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
+        m = m if m[5] is None else {0: m[0], 1: m[4], 2: m[5], 3: m[6]}  # a quote that never ends: the tag ends at the next ">"
         if m[2] is None:
             if m[0][0] != "<" or m[0] == "<":
                 yield "t", m[0], {}
             elif m[0].startswith("<![CDATA["):
                 yield "t", m[0][9:].removesuffix("]]>"), {}
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), m[3]
         if m[1]:
             yield ">", tag, {}
             continue
-        yield "<", tag, _attrs(m[3])
-        if tag in RAW and not m[3].rstrip().endswith("/"):
+        yield "<", tag, _attrs(attributes)
+        if tag in RAW and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             yield ">", tag, {}
@@ -97,8 +110,9 @@ class Walk:
     """Keeps the open elements of a stream, closing what HTML closes by itself."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, str, bool, bool, str]] = []  # tag, signature, noise, inside an article or main, path
-        self.closed: list[tuple[str, str, bool, bool, str]] = []  # what the last call closed, inner ones first
+        self.stack: list[tuple] = []  # tag, signature, noise, inside an article or main, path, numbers of the suspects around it
+        self.closed: list[tuple] = []  # what the last call closed, inner ones first
+        self.suspects: list[list] = []  # [strength, the one around it or -1, holds a main element, holds an article]
 
     def open(self, tag: str, at: dict[str, str]) -> None:
         self.closed = []
@@ -106,11 +120,31 @@ class Walk:
             self._end(("p",), ("table", "td", "th", "li", "blockquote", "article", "div"))
         if tag in CLOSES:
             self._end(CLOSES[tag], ("ul", "ol", "dl", "table", "menu", "article", "div", "section", "body"))
-        up = self.stack[-1] if self.stack else ("", "", False, False, "")
+        up = self.stack[-1] if self.stack else ("", "", False, False, "", -1)
         if tag not in VOID:
-            sig = _signature(tag, at)
+            sig, mark = _signature(tag, at), up[5]
+            k = mark
+            while k >= 0 and tag in ("main", "h1", "article") and not up[2]:
+                self.suspects[k][2 if tag != "article" else 3] = True
+                k = self.suspects[k][1]
+            if (bad := _suspect(tag, at)) and not up[2]:
+                self.suspects.append([bad, mark, False, False])
+                mark = len(self.suspects) - 1
             path = f"{up[4]} {sig}".lstrip() if tag in BLOCK else up[4]
-            self.stack.append((tag, sig, up[2] or _noise(tag, at, up[3]), up[3] or tag in ("article", "main") or at.get("role") == "main", path))
+            self.stack.append((tag, sig, up[2] or _noise(tag, at, up[3]), up[3] or tag in ("article", "main") or at.get("role") == "main", path, mark))
+
+    def dropped(self, size: dict[int, int]) -> set[int]:
+        """The suspects that are noise, by the text that each holds outside the suspects inside it (-1: outside all). One stays
+        if it holds the main element or title, or, with weak words only, an article or nearly all text that is left."""
+        out, free = set(range(len(self.suspects))), size.get(-1, 0)
+        for k, (bad, up, main, article) in enumerate(self.suspects):  # outer ones first
+            if up not in out and (main or bad == 1 and (article or size.get(k, 0) > 8 * free)):
+                out.discard(k)
+                free += size.get(k, 0)
+        for k, (_, up, _, _) in enumerate(self.suspects):
+            if up in out:
+                out.add(k)
+        return out
 
     def _cut(self, k: int) -> None:
         self.closed += self.stack[:k - 1 if k else None:-1]
@@ -140,43 +174,64 @@ class Walk:
 def read(page: str) -> list:
     """Balanced nodes ["<", signature], [">", tag] of the block elements that hold text, and one ["t", text, length, path] for
     each block's text; noise is left out. The path names the open block elements."""
-    w, out, now = Walk(), [], []
+    w, out, marks, now = Walk(), [], [], []
 
-    def end(path: str) -> None:
+    def put(node: list, mark: int) -> None:
+        out.append(node)
+        marks.append(mark)
+
+    def end(up: tuple) -> None:
         text = " ".join(html.unescape("".join(now)).split()) if now else ""
         if text:
-            out.append(["t", text, len(text), path])
+            put(["t", text, len(text), up[4]], up[5])
         now.clear()
 
     def closing(closed: list) -> None:
         for c in closed:
             if c[0] in BLOCK and not c[2]:
-                end(c[4])
-                if out and out[-1][0] == "<" and out[-1][1] == c[1] and c[0] not in VOID:
-                    out.pop()
-                else:
-                    out.append([">", c[0]])
+                end(c)
+                put([">", c[0]], c[5])
+            elif c[0] not in BLOCK and not c[2] and c[5] != (w.stack[-1][5] if w.stack else -1):
+                end(c)  # an inline suspect is a block of its own
 
+    top = ("", "", False, False, "", -1)
     for kind, x, at in events(page):
+        up = w.stack[-1] if w.stack else top
         if kind == "t":
-            if not (w.stack and w.stack[-1][2]):
+            if not up[2]:
                 now.append(x)
             continue
         if x in BLOCK:
-            end(w.stack[-1][4] if w.stack else "")
+            end(up)
         elif x == "br" and now:
             now.append(" ")
         if kind == "<":
             w.open(x, at)
             closing(w.closed)
-            if x in BLOCK and not (w.stack and w.stack[-1][2]):
-                out.append(["<", _signature(x, at)])
+            new = w.stack[-1] if w.stack else top
+            if x not in BLOCK and new[5] != up[5]:
+                end(up)
+            if x in BLOCK and not new[2]:
+                put(["<", _signature(x, at)], new[5])
         else:
             w.close(x)
             closing(w.closed)
-    end(w.stack[-1][4] if w.stack else "")
+    end(w.stack[-1] if w.stack else top)
     closing(w.stack[::-1])
-    return out
+    size = Counter()
+    for x, k in zip(out, marks):
+        if x[0] == "t":
+            size[k] += x[2]
+    gone = w.dropped(size) if w.suspects else set()
+    kept: list = []
+    for x, k in zip(out, marks):
+        if k in gone:
+            continue
+        if x[0] == ">" and kept and kept[-1][0] == "<" and _tag(kept[-1][1]) == x[1] and x[1] not in VOID:
+            kept.pop()
+        else:
+            kept.append(x)
+    return kept
 
 
 def stream(page: str) -> list:
@@ -280,11 +335,64 @@ def _regroup(flat: list) -> list:
     return out
 
 
+def opcodes(a: list[str], b: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
+    """As difflib's, in nearly linear time: common ends, then shapes that occur once on both sides in their longest common order,
+    and so on between them; only short rests are compared in full, long ones without such shapes differ as a whole."""
+    todo, same = [(0, len(a), 0, len(b))], []
+    while todo:
+        i, m, j, n = todo.pop()
+        while i < m and j < n and a[i] == b[j]:
+            same.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            same.append((m, n))
+        if i == m or j == n:
+            continue
+        if (m - i) * (n - j) <= 10_000:
+            for x in SequenceMatcher(None, a[i:m], b[j:n], autojunk=False).get_matching_blocks():
+                same += [(i + x.a + k, j + x.b + k) for k in range(x.size)]
+            continue
+        once, at = Counter(a[i:m]), {}
+        for k in range(j, n):
+            at[b[k]] = -1 if b[k] in at else k
+        pairs = [(k, at[a[k]]) for k in range(i, m) if once[a[k]] == 1 and at.get(a[k], -1) >= 0]
+        ends, back, chain = [], {}, []  # longest rising chain of places in b
+        for k, q in pairs:
+            t = bisect_left(ends, (q,))
+            back[k, q] = chain[t - 1] if t else None
+            ends[t:t + 1], chain[t:t + 1] = [(q,)], [(k, q)]
+        node, anchors = chain[-1] if chain else None, []
+        while node:
+            anchors.append(node)
+            node = back[node]
+        lo = (i, j)
+        for k, q in reversed(anchors):
+            same.append((k, q))
+            todo.append((lo[0], k, lo[1], q))
+            lo = (k + 1, q + 1)
+        if anchors:
+            todo.append((lo[0], m, lo[1], n))
+    same.sort()
+    i = j = k = 0
+    while k <= len(same):
+        x, y = same[k] if k < len(same) else (len(a), len(b))
+        if i < x or j < y:
+            yield "replace", i, x, j, y
+        start = k
+        while k < len(same) and same[k] == (x + k - start, y + k - start):
+            k += 1
+        if k == start:
+            return
+        i, j = x + k - start, y + k - start
+        yield "equal", x, i, y, j
+
+
 def align(wrapper: list, page: list) -> list:
     """Longest common runs stay, a group being aligned with one turn of it; what only one side has becomes optional."""
     a, b = _flat(wrapper), _flat(page)
     out: list = []
-    for op, i0, i1, j0, j1 in SequenceMatcher(None, [shape(x) for x, _ in a], [shape(x) for x, _ in b], autojunk=False).get_opcodes():
+    for op, i0, i1, j0, j1 in opcodes([shape(x) for x, _ in a], [shape(x) for x, _ in b]):
         if op == "equal":
             for (x, m), (y, n) in zip(a[i0:i1], b[j0:j1]):
                 out.append((_merge(x, y), n if n and n[0] == "+" else m or n))

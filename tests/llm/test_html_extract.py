@@ -1,5 +1,7 @@
 import html
 import random
+import time
+from html.parser import HTMLParser
 
 from factorlake.llm.html_extract import infer, main_text, main_texts, region, shape, stream
 
@@ -109,3 +111,94 @@ def test_long_records_are_one_repeated_group():
         got = stream("<article>" + "".join(record.format(k) for k in range(n)) + "</article>")
         assert [x[0] for x in got] == ["<", "+", ">"] and len(got[1][1]) == 72
         assert {x[0] for x in got[1][1]} == {"<", ">", "s"}
+
+
+class Plain(HTMLParser):
+    """A second reader for well-formed pages: everything of the article or the body that is not in a nav, aside, form and so on."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.now = [], [], []
+
+    def end(self):
+        t = " ".join("".join(self.now).split())
+        self.blocks += [t] * bool(t)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        c = set((dict(attrs).get("class") or "").split())
+        if tag not in ("b", "i", "a", "span", "br"):
+            self.end()
+        if tag not in ("br", "hr", "img", "input"):
+            self.open.append((tag, tag in ("nav", "aside", "form", "footer", "header", "head", "script", "style") or bool(c & {"ad", "menu", "comments", "cookie-notice"})))
+        elif tag == "br":
+            self.now.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "span", "br"):
+            self.end()
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(n for _, n in self.open):
+            self.now.append(data)
+
+
+def test_matches_a_plain_reader(spark):
+    rnd = random.Random(12)
+    words = lambda k: " ".join(rnd.choice(["alpha", "béta", "R&amp;D", "&lt;x&gt;", "x &nbsp; y", "\n", "<b>bold</b>", "<i>it</i>al", "one<br>two"]) for _ in range(k))
+
+    def block(depth):
+        kind = rnd.choice(["p", "p", "h2", "div", "ul", "table", "blockquote", "section"])
+        if kind in ("div", "section", "blockquote") and depth:
+            return f"<{kind}>" + "".join(block(depth - 1) for _ in range(rnd.randint(1, 3))) + f"</{kind}>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{words(3)}</li>" for _ in range(rnd.randint(1, 4))) + "</ul>"
+        if kind == "table":
+            return "<table><tr>" + "".join(f"<td>{words(2)}</td>" for _ in range(3)) + "</tr></table>"
+        return f"<{kind}>{words(8)}</{kind}>"
+
+    data, want = [], {}
+    for i in range(120):
+        noise = rnd.sample([f"<nav><ul><li>{words(2)}</li></ul></nav>", f"<aside>{words(4)}</aside>", f"<form><p>{words(3)}</p></form>", f'<div class="ad">{words(5)}</div>', f'<div class="comments"><p>{words(40)}</p></div>', f'<div class="cookie-notice">{words(2)}</div>', f"<footer>{words(2)}</footer>", "<script>if (a < b) c('</p>');</script>"], 5)
+        main = "".join(block(2) for _ in range(rnd.randint(2, 6))) + f"<p>{words(30)}</p>"
+        t = f"<html><head><title>T</title></head><body>{noise[0]}{noise[1]}<article>{main}{noise[2]}</article>{noise[3]}{noise[4]}</body></html>"
+        data.append((i, f"http://h{i % 3}/{i}", t))
+        plain = Plain()
+        plain.feed(t)
+        plain.close()
+        plain.end()
+        want[i] = "\n".join(plain.blocks)
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_article_text_is_not_lost():
+    cases = {
+        '<div class="page side-panel-open"><p>all of it</p></div>': "all of it",
+        '<body class="has-comments"><div class="with-sidebar"><p>one</p><p>two</p></div></body>': "one\ntwo",
+        '<div id="search"><h1>T</h1><p>about searching</p></div><div class="related">more</div>': "T\nabout searching",
+        '<div class="share"><article><p>kept</p></article></div><div class="comments"><p>a very long comment that is longer than all</p></div>': "kept",
+        "<article><p>let <math><mi>x</mi></math> be</p></article>": "let x be",
+        "<article><p>a</p><fieldset><p>b</p></fieldset><dialog>c</dialog><label>d</label><menu><li>e</li></menu></article>": "a\nb\nc\nd\ne",
+        '<article><p title="it>broken</p><p>next</p></article>': "broken\nnext",
+        "<article><p title='x>y'>quoted</p><p a=\"1\" b>z</p></article>": "quoted\nz",
+        '<article><p>text</p></article><dialog>subscribe</dialog><select><option>en</option></select><button>ok</button>': "text",
+    }
+    for page_, text in cases.items():
+        assert main_text(page_, None) == text, page_
+
+
+def test_long_pages_take_seconds():
+    rnd = random.Random(1)
+    began = time.process_time()
+    pages = []
+    for k in range(4):
+        body = "".join(rnd.choice([f"<p>{rnd.random()} " + "w " * 30 + "</p>", f"<h2>{rnd.random()}</h2>", f"<ul><li>{rnd.random()}</li></ul>", f"<div class='c{rnd.randrange(9)}'><p>{rnd.random()}</p></div>"]) for _ in range(12_000))
+        pages.append(f"<body><div class='text'>{body}</div></body>")
+    assert sum(map(len, pages)) > 2_000_000
+    where = region(infer(pages))
+    assert where.startswith("/body div.text") and len(main_text(pages[0], where).split("\n")) == 12_000
+    assert time.process_time() - began < 60
