@@ -112,7 +112,7 @@ def values(y: np.ndarray, mu: np.ndarray, loss: Loss) -> np.ndarray:
             return -np.log(m / (1 + t)) - np.where(y >= 1, (y - 1) * np.log(np.maximum((m + t * y) / (1 + t), TINY)), 0.0) + (m + t * y) / (1 + t)
         case "nb":
             s = loss.size
-            return -_lgamma(y + s).astype(float) + math.lgamma(s) - s * np.log(s / (s + m)) - y * np.log(m / (s + m))
+            return -np.asarray(_lgamma(y + s), float) + np.asarray(_lgamma(s), float) - s * np.log(s / (s + m)) - y * np.log(m / (s + m))
         case "gamma":
             return 2 * (-np.log(p / m) + (p - m) / m)
         case "inverse_gaussian":

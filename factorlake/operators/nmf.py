@@ -13,15 +13,17 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.losses import ROBUST, Loss
 from ..functions.rng import uniform
 from ..sources.matrix import MatrixFrame
 from .models import NMF
-from .passes import LOCAL_NNZ, Plan, Rule, Samples, adverse, turned
+from .passes import LOCAL_NNZ, SPREAD, Plan, Rule, Samples, adverse, gp_parts, gp_thetas, nb_sizes, turned
 from .solve import EPS, nnls, nnls_each
 
 PATIENCE = 5
+POWER = {"gamma": 2.0, "inverse_gaussian": 3.0, "tweedie": 0.0}  # of the variance; 0: the loss has it
 CV_SCHEMA = "rep int, k int, train_mse double, test_mse double, best_iter int, total_iter int, mean_theta double, mean_dispersion double"
 
 
@@ -53,10 +55,15 @@ class Config:
     cv_seed: int = 0
     patience: int = PATIENCE
     init: str | np.ndarray = "random"
+    h_init: np.ndarray | None = None
+    rounds: int = 5
+    still: float = 1e-4
     target: tuple[np.ndarray | None, np.ndarray | None] = (None, None)
     target_weight: tuple[float, float] = (0.0, 0.0)
     graph_w: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     graph_weight: float = 0.0
+    graph_h: DataFrame | None = None  # Laplacian entries (a, b, v) of the samples
+    graph_h_weight: float = 0.0
     sort_model: bool = True
     local_nnz: int = LOCAL_NNZ
     on_iteration: Callable[[int, float, float], None] | None = None
@@ -166,27 +173,31 @@ class Fit:
         solver = c.picked_solver()
         side = lambda s: Rule(c.l1[s], c.l2[s], c.l21[s], c.angular[s], c.upper[s], c.nonneg[s], solver, c.target[s], c.target_weight[s])
         self.w_rule, self.h_rule = side(0), side(1)
-        self.plan = Plan(self.h_rule, self.loss, c.test_fraction, c.cv_seed or c.seed, self.zeros, self.data.mask, c.projective)
+        self.spread = SPREAD.get(self.loss.name) if c.dispersion != "none" else None
+        start = np.full(a.m, float(getattr(self.loss, self.spread))) if self.spread and c.dispersion != "per_col" else None
+        self.plan = Plan(self.h_rule, self.loss, c.test_fraction, c.cv_seed or c.seed, self.zeros, self.data.mask, c.projective, c.rounds, c.still, per_row=start, per_col=bool(self.spread) and start is None)
         if c.symmetric and a.m != a.n:
             warnings.warn("a symmetric fit needs a square matrix", stacklevel=3)
 
     def run(self) -> NMF:
         c, data = self.c, self.data
-        w, d = initial_w(self.a, c), np.ones(c.k)
+        w, d = self._first(), np.ones(c.k)
         shape, history, tests, still = None, [], [], 0
         best = (np.inf, 0, None)
         done, it = False, 0
         for it in range(1, c.maxit + 1):
             start = (w, d, shape)
-            plan = self._plan(shape, d)
-            s = data.run(w, plan, self._angles(shape))
+            plan = self._plan(shape, d, w)
+            s = data.against(w) if c.symmetric and not self.loss.reweighted else data.run(w, plan, self._angles(shape))
             dh = lengths(s.gram, s.l1, c.norm)
             gram, b = s.gram / np.outer(dh, dh), s.b / dh
             shape = (np.sqrt(np.maximum(np.diag(s.gram), EPS)), s.gram)
             own = None if s.row_gram is None else s.row_gram.reshape(-1, c.k, c.k) / np.outer(dh, dh)
-            w_new = self._solve_w(w, gram, b, own)
+            w_new = self._solve_w(w, gram, b, own, w * d)
             dw = lengths(w_new.T @ w_new, np.abs(w_new).sum(axis=0), c.norm)
             w_used, w, d = w, w_new / dw, dw
+            if self.plan.per_row is not None:
+                self.plan = replace(self.plan, per_row=self._row_spread(w_used, plan, start[2], dh, w * d, gram, s.l1 / dh))
             if self.plan.holdout or self.loss.reweighted or own is not None:
                 train = s.loss / max(s.count, 1)
             else:
@@ -213,20 +224,76 @@ class Fit:
                     break
         if best[2] is not None:
             w_used, start, dh, w, d = best[2]
-        h = data.coefficients(w_used, self._plan(start[2], start[1]), dh, self._angles(start[2]))
+        last = self._plan(start[2], start[1], w_used)
+        h = data.coefficients(w_used, last, dh, self._angles(start[2]))
         if c.symmetric:
             from .models import frame
 
             h = frame(self.a.entries.sparkSession, w)
         misc = {"iter": it, "converged": done, "tol": c.tol, "loss": history[-1], "train_loss": history, "test_loss": best[0] if best[2] is not None else None, "test_history": tests, "best_iter": best[1] or it, "loss_type": c.loss}
+        if self.plan.per_row is not None:
+            misc[self.spread] = self.plan.per_row
+        if c.loss in POWER:
+            misc["phi"] = self._phi(w_used, last, start[2], dh, w * d)
         out = NMF(w, d, h, self.a.n, misc)
         return out.sort() if c.sort_model else out
 
-    def _plan(self, shape: tuple | None, d: np.ndarray) -> Plan:
-        rule = self.h_rule
+    def _first(self) -> np.ndarray:
+        """W to start from; if only H is given, the least squares on it."""
+        c = self.c
+        if c.h_init is None:
+            return initial_w(self.a, c)
+        h = c.h_init if c.h_init.shape[0] == self.a.n else c.h_init.T
+        if h.shape != (self.a.n, c.k):
+            raise ValueError(f"the initial matrix has shape {c.h_init.shape}, not {(self.a.n, c.k)}")
+        s = self.data.against(h)
+        w = nnls(s.gram + EPS * np.eye(c.k), s.b.T, "cd", c.nonneg[0]).T
+        return w / lengths(w.T @ w, np.abs(w).sum(axis=0), c.norm)
+
+    def _plan(self, shape: tuple | None, d: np.ndarray, w: np.ndarray | None = None) -> Plan:
+        rule, extra = self.h_rule, None
         if rule.l21 and shape is not None:  # each factor's ridge by its last length
-            rule = replace(rule, l2=rule.l2 + float(np.mean(rule.l21 / shape[0])))
-        return replace(self.plan, rule=rule, d=d)
+            extra = np.diag(rule.l21 / shape[0])
+        if self.c.graph_h is not None and self.c.graph_h_weight and shape is not None:
+            extra = (0.0 if extra is None else extra) + self.c.graph_h_weight * self._graph_gram()
+        plan = replace(self.plan, rule=replace(rule, extra=extra), d=d)
+        if self.c.graph_h is not None and w is not None:
+            self._h = (w, replace(self.plan, rule=replace(rule, extra=extra), d=d), self._angles(shape))
+        return plan
+
+    def _graph_gram(self) -> np.ndarray:
+        """H L H' of the last pass's coefficients, from one aggregation over the graph's entries."""
+        h = self.data.coefficients(self._h[0], self._h[1], None, self._h[2])
+        k = self.c.k
+        e = self.c.graph_h.join(h.select(F.col("j").alias("a"), F.col("h").alias("x")), "a").join(h.select(F.col("j").alias("b"), F.col("h").alias("y")), "b")
+        r = e.agg(*[F.sum(F.col("v") * F.col("x")[p] * F.col("y")[q]).alias(f"g{p}_{q}") for p in range(k) for q in range(k)]).first()
+        return np.array([x or 0.0 for x in r]).reshape(k, k)
+
+    def _row_spread(self, w_used: np.ndarray, plan: Plan, shape: tuple | None, dh: np.ndarray, w: np.ndarray, gram: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Sizes or thetas of the rows after a step; w with its scale, gram and total of the scaled H."""
+        fitted = lambda h, i, j: np.maximum(np.einsum("ek,ek->e", w[i], (h / dh)[j]), 1e-10)
+        sums = lambda fn, n: self.data.stats(fn, n, w_used, plan, self._angles(shape))
+        mu, old = w @ total, plan.per_row
+        if self.spread == "size":
+            x = sums(lambda h, i, j, y: np.stack([y**2 - 2 * y * fitted(h, i, j), fitted(h, i, j), fitted(h, i, j) ** 2], axis=1), 3)
+            new = nb_sizes(x[:, 1], x[:, 2], x[:, 0]) if self.zeros else nb_sizes(mu, np.einsum("mk,kl,ml->m", w, gram, w), x[:, 0])
+            return np.full(len(new), np.sort(new)[len(new) // 2]) if self.c.dispersion == "global" else new
+        for _ in range(5):
+            x = sums(lambda h, i, j, y: np.concatenate([gp_parts(y, fitted(h, i, j), old[i]), fitted(h, i, j)[:, None]], axis=1), 5)
+            old = gp_thetas(x, x[:, 4] if self.zeros else mu, old)
+        return np.full(len(old), old.mean()) if self.c.dispersion == "global" else old
+
+    def _phi(self, w_used: np.ndarray, plan: Plan, shape: tuple | None, dh: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Pearson dispersion of the rows (one value if global) over positive entries."""
+        power = POWER[self.c.loss] or self.loss.power
+
+        def part(h: np.ndarray, i: np.ndarray, j: np.ndarray, y: np.ndarray) -> np.ndarray:
+            mu = np.maximum(np.einsum("ek,ek->e", w[i], (h / dh)[j]), 1e-10)
+            return np.stack([(y > 0) * (y - mu) ** 2 / mu**power, y > 0], axis=1)
+
+        x = self.data.stats(part, 2, w_used, plan, self._angles(shape))
+        x = x.sum(axis=0, keepdims=True) if self.c.dispersion == "global" else x
+        return np.clip(x[:, 0] / np.maximum(x[:, 1], 1), 1e-4, 1e4)
 
     def _angles(self, shape: tuple | None) -> tuple | None:
         if shape is None:
@@ -234,7 +301,7 @@ class Fit:
         norms, gram = shape
         return norms, gram / np.outer(norms, norms)
 
-    def _solve_w(self, w: np.ndarray, gram: np.ndarray, b: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    def _solve_w(self, w: np.ndarray, gram: np.ndarray, b: np.ndarray, own: np.ndarray | None, start: np.ndarray) -> np.ndarray:
         r, k = self.w_rule, self.c.k
         g = gram + EPS * np.eye(k)
         b = b - r.l1
@@ -249,7 +316,7 @@ class Fit:
         elif r.target is not None and r.target_weight < 0:
             g = adverse(g, r.target, -r.target_weight)
         if own is None:
-            out = nnls(g, b.T, r.solver, r.nonneg, r.upper).T
+            out = nnls(g, b.T, r.solver, r.nonneg, r.upper, x=start.T).T
         else:
             base = g - gram if self.zeros else g
             out = nnls_each(base[None] + own, b, r.nonneg, r.upper, solver=r.solver)

@@ -9,7 +9,7 @@ driver keeps W (m x k), whose size is checked. Small matrices take the same kern
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,9 @@ DRIVER_VALUES = 60_000_000  # numbers in a factor that the driver may hold
 BLOCK_COLUMNS = 2048
 
 
+SPREAD = {"nb": "size", "gp": "theta"}  # the loss's parameter that a fit estimates
+
+
 @dataclass(frozen=True)
 class Rule:
     """How one side's coefficients are solved."""
@@ -40,8 +43,7 @@ class Rule:
     solver: str = "cd"
     target: np.ndarray | None = None  # one row for each of the side's items
     target_weight: float = 0.0
-    graph: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # Laplacian entries (a, b, v)
-    graph_weight: float = 0.0
+    extra: np.ndarray | None = None  # added to every Gram matrix: factor-wise ridges, the graph penalty
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,13 @@ class Plan:
     mask: np.ndarray | None = None  # sorted keys j * m + i of entries left out
     projective: bool = False
     rounds: int = 5  # reweighting rounds for losses other than squared error
+    still: float = 1e-4  # rounds end when no coefficient of a block moves more than this, relatively
     d: np.ndarray | None = None
+    per_row: np.ndarray | None = None  # size or theta of each row
+    per_col: bool = False  # size or theta of each sample, found from its own entries while it is solved
+
+    def loss_of(self, at: np.ndarray | None) -> Loss:
+        return self.loss if at is None else replace(self.loss, **{SPREAD[self.loss.name]: at})
 
 
 @dataclass
@@ -144,7 +152,7 @@ def solve_block(blk: Block, w: np.ndarray, g: np.ndarray, p: Plan) -> tuple[np.n
     if p.projective:
         return b * (p.d if p.d is not None else 1.0), extra
     b0 = b - rule.l1
-    base = g + rule.l2 * np.eye(k)
+    base = g + rule.l2 * np.eye(k) + (0.0 if rule.extra is None else rule.extra)
     if rule.target is not None and rule.target_weight > 0:
         base = base + rule.target_weight * np.eye(k)
         b0 = b0 + rule.target_weight * rule.target[blk.keys]
@@ -165,16 +173,58 @@ def solve_block(blk: Block, w: np.ndarray, g: np.ndarray, p: Plan) -> tuple[np.n
         prod = outer(idx)
         for _ in range(p.rounds):
             mu = np.einsum("ek,ek->e", w[idx], h[col])
-            wt = weights(val, mu, p.loss)
+            wt = weights(val, mu, p.loss_of(spread(blk, h, w, g, p, idx, col, val)))
             bw = sum_by(col, (wt * val)[:, None] * w[idx], nb) + (b0 - b)
             new = nnls_each((fixed + sum_by(col, (wt - 1)[:, None] * prod, nb)).reshape(nb, k, k), bw, rule.nonneg, rule.upper, solver=rule.solver)
             moved = np.abs(new - h).max(initial=0.0) / (np.abs(new).max(initial=0.0) + EPS)
             h = new
-            if moved < 1e-4:
+            if moved < p.still:
                 break
     return h, extra
 
 
+def nb_sizes(mu: np.ndarray, sq: np.ndarray, left: np.ndarray, low: float = 0.01, high: float = 1e6) -> np.ndarray:
+    """Sizes by moments from sums of mu and mu^2 over all entries and of y^2 - 2 y mu; `high` where the variance is not above mu."""
+    over = sq + left - mu
+    return np.where((over > 1e-10) & (sq > 1e-10), np.clip(sq / np.where(over > 0, over, 1.0), low, high), high)
+
+
+def gp_parts(y: np.ndarray, mu: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """What each stored entry adds to a majorising step for theta."""
+    s = np.maximum(mu, 1e-10)
+    share = s / np.maximum(s + theta * y, 1e-10)
+    big = y >= 1
+    return np.stack([big * (y - 1) * share, big * (y - 1) * (1 - share), big, y], axis=1)
+
+
+def gp_thetas(parts: np.ndarray, mu: np.ndarray, old: np.ndarray, high: float = 5.0) -> np.ndarray:
+    """The step from sums of gp_parts and of mu over all entries: the positive root of a quadratic."""
+    alpha, gamma = parts[:, 0] + parts[:, 2], parts[:, 1]
+    beta = parts[:, 3] - mu - gamma + alpha
+    disc = beta**2 + 4 * alpha * gamma
+    ok = (alpha > 1e-15) & (disc > 0)
+    new = (-beta + np.sqrt(np.maximum(disc, 0))) / np.where(ok, 2 * alpha, 1.0)
+    return np.where(ok & (new >= 0), np.minimum(new, high), old)
+
+
+def spread(blk: Block, h: np.ndarray, w: np.ndarray, g: np.ndarray, p: Plan, idx: np.ndarray, col: np.ndarray, val: np.ndarray) -> np.ndarray | None:
+    """Size or theta at each stored entry, None if the loss's own holds everywhere."""
+    if p.per_row is not None:
+        return p.per_row[idx]
+    if not p.per_col:
+        return None
+    n, mu = len(blk.keys), np.einsum("ek,ek->e", w[idx], h[col])
+    by = lambda x: sum_by(col, x, n)
+    total = by(mu) if p.mask_zeros else h @ w.sum(axis=0)
+    if p.loss.name == "nb":
+        sq = by(mu**2) if p.mask_zeros else np.einsum("nk,kl,nl->n", h, g, h)
+        return nb_sizes(total, sq, by(val**2 - 2 * val * mu))[col]
+    theta = np.full(n, p.loss.theta)
+    for _ in range(5):
+        theta = gp_thetas(by(gp_parts(val, mu, theta[col])), total, theta)
+    return theta[col]
+
+
 def adverse(g: np.ndarray, target: np.ndarray, weight: float) -> np.ndarray:
     """Gram matrix with the target's directions taken out, kept positive definite."""
     tt = target.T @ target / max(1, len(target))
@@ -199,8 +249,9 @@ def block_sums(blk: Block, h: np.ndarray, extra: tuple, w: np.ndarray, p: Plan)
     wt = np.ones(len(val))
     if p.loss.reweighted:
         mu = np.einsum("ek,ek->e", w[idx], h[col])
-        wt = weights(val, mu, p.loss)
-        s.loss = float(values(val, mu, p.loss).sum())
+        full = p.loss_of(spread(blk, h, w, w.T @ w, p, idx, col, val))
+        wt = weights(val, mu, full)
+        s.loss = float(values(val, mu, full).sum())
         s.count = len(val)
     elif own:
         mu = np.einsum("ek,ek->e", w[idx], h[col])
@@ -211,7 +262,7 @@ def block_sums(blk: Block, h: np.ndarray, extra: tuple, w: np.ndarray, p: Plan)
             s.count = m * len(blk.keys) - len(rows)
     if test.any():
         mt = np.einsum("ek,ek->e", w[rows[test]], h[cols[test]])
-        loss = p.loss if p.loss.reweighted else Loss()
+        loss = p.loss_of(None if p.per_row is None else p.per_row[rows[test]]) if p.loss.reweighted else Loss()
         s.test, s.test_count = float(values(vals[test], mt, loss).sum()), int(test.sum())
     o = np.argsort(idx, kind="stable")
     s.b = sum_by(idx[o], (wt * val)[o, None] * h[col[o]], m)
@@ -234,9 +285,10 @@ class Samples:
 
     def __init__(self, a: MatrixFrame, local_nnz: int = LOCAL_NNZ, mask: DataFrame | None = None) -> None:
         self.m, self.n, self.frame = a.m, a.n, a
-        nnz = a.entries.count()
-        self.local = nnz <= local_nnz
-        self.square = float(a.entries.where(~F.isnan("v")).agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0)
+        good = F.col("v").isNotNull() & ~F.isnan("v")
+        one = a.entries.agg(F.count("*"), F.sum(F.when(good, F.col("v") * F.col("v"))), F.count(F.when(good, 1))).first()
+        self.local = one[0] <= local_nnz
+        self.square, self.missing = float(one[1] or 0.0), one[2] < one[0]
         self.mask = None
         if mask is not None:
             k = mask.select((F.col("j") * a.m + F.col("i")).alias("k")).distinct()
@@ -262,50 +314,63 @@ class Samples:
     def run(self, w: np.ndarray, p: Plan, shape: tuple | None = None) -> Sums:
         """shape: (norms, cosines) of the side's factors for the angular penalty."""
         self._check(w)
-        g = w.T @ w + EPS * np.eye(w.shape[1])
         m, k = w.shape
+        own = p.mask_zeros or p.loss.reweighted or p.holdout > 0 or p.mask is not None or self.missing
 
-        def one(blk: Block) -> Sums:
-            h, extra = solve_block(blk, w, g, p)
+        def one(blk: Block, w: np.ndarray) -> tuple[Sums, tuple]:
+            h, extra = solve_block(blk, w, w.T @ w + EPS * np.eye(k), p)
             if p.rule.angular and shape is not None:
                 h = turned(h, shape[1], shape[0], p.rule.angular)
-            return block_sums(blk, h, extra, w, p)
+            return block_sums(blk, h, extra, w, p), (h, extra)
 
         if self.local:
-            out = Sums(np.zeros(k), np.zeros((k, k)), np.zeros((m, k)))
+            out, self.last = Sums(np.zeros(k), np.zeros((k, k)), np.zeros((m, k))), []
             for blk in self.blocks:
-                out.add(one(blk))
+                s, solved = one(blk, w)
+                out.add(s)
+                self.last.append(solved)
             return out
-        width = k + k * k
-        names = [f"c{r}" for r in range(width)]
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for blk in _blocks(batches):
-                s = one(blk)
-                total = s if total is None else total.add(s)
-            if total is None:
-                return
-            x = np.zeros((m + 2, width))
-            x[:m, :k] = total.b
-            if total.row_gram is not None:
-                x[:m, k:] = total.row_gram
-            x[m, :k], x[m, k:] = total.l1, total.gram.ravel()
-            x[m + 1, :5] = [total.cross, total.loss, total.count, total.test, total.test_count][: min(5, width)] if width >= 5 else 0
-            rows = np.flatnonzero(x.any(axis=1))
-            pdf = pd.DataFrame(x[rows], columns=names)
-            pdf.insert(0, "i", rows)
-            if width < 5:
-                pdf = pd.concat([pdf, pd.DataFrame([[m + 2 + t, v] + [0.0] * (width - 1) for t, v in enumerate([total.cross, total.loss, total.count, total.test, total.test_count])], columns=["i", *names])])
-            yield pdf
+        def sums(blk: Block, w: np.ndarray) -> np.ndarray:
+            """Rows 0..m-1: b and, if there are any, the rows' Gram corrections; then the Gram matrix, l1 and five numbers."""
+            s, _ = one(blk, w)
+            x = np.zeros((m + k + 6, k + k * k if own else k))
+            x[:m, :k] = s.b
+            if s.row_gram is not None:
+                x[:m, k:] = s.row_gram
+            x[m : m + k, :k], x[m + k, :k] = s.gram, s.l1
+            x[m + k + 1 :, 0] = s.cross, s.loss, s.count, s.test, s.test_count
+            return x
+
+        x = self.sweep(sums, m + k + 6, k + k * k if own else k, w)
+        return Sums(x[m + k, :k], x[m : m + k, :k], x[:m, :k], x[m + k + 1, 0], x[:m, k:] if own else None, *x[m + k + 2 :, 0])
+
+    def stats(self, fn, width: int, w: np.ndarray, p: Plan, shape: tuple | None = None) -> np.ndarray:
+        """Sums by row of fn(h, row, column, value) -> (entries x width) over the training entries of the last pass (which other
+        tasks solve again, as coefficients are not kept)."""
+        m = self.m
+
+        def by_row(h: np.ndarray, extra: tuple) -> np.ndarray:
+            idx, col, val = extra[4:7]
+            o = np.argsort(idx, kind="stable")
+            return sum_by(idx[o], fn(h, idx[o], col[o], val[o]), m)
+
+        if self.local:
+            return sum((by_row(*x) for x in self.last), np.zeros((m, width)))
 
-        schema = "i long, " + ", ".join(f"{c} double" for c in names)
-        r = self.frame_blocks.mapInPandas(run, schema).groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-        x = np.zeros((m + 7, width))
-        x[r["i"].to_numpy()] = r[names].to_numpy()
-        tail = x[m + 1, :5] if width >= 5 else x[m + 2 : m + 7, 0]
-        own = p.mask_zeros or p.loss.reweighted or p.holdout > 0 or p.mask is not None or bool(x[:m, k:].any())
-        return Sums(x[m, :k], x[m, k:].reshape(k, k), x[:m, :k], tail[0], x[:m, k:] if own else None, *tail[1:])
+        def one(blk: Block, w: np.ndarray) -> np.ndarray:
+            h, extra = solve_block(blk, w, w.T @ w + EPS * np.eye(w.shape[1]), p)
+            if p.rule.angular and shape is not None:
+                h = turned(h, shape[1], shape[0], p.rule.angular)
+            return by_row(h, extra)
+
+        return self.sweep(one, m, width, w)
+
+    def against(self, h: np.ndarray) -> Sums:
+        """Sums for given coefficients (n x k), which the driver holds."""
+        self._check(h)
+        b = self.sweep(lambda blk, h: sum_by(np.sort(blk.idx), (np.nan_to_num(blk.val)[:, None] * h[blk.keys[blk.col]])[np.argsort(blk.idx, kind="stable")], self.m), self.m, h.shape[1], h)
+        return Sums(np.abs(h).sum(axis=0), h.T @ h, b)
 
     def coefficients(self, w: np.ndarray, p: Plan, scale: np.ndarray | None = None, shape: tuple | None = None) -> DataFrame:
         """(j, h) of every sample, as a DataFrame."""
@@ -329,25 +394,31 @@ class Samples:
 
         return self.frame_blocks.mapInPandas(run, "j long, h array<double>")
 
-    def sweep(self, fn, m: int, width: int) -> np.ndarray:
-        """Sum over blocks of fn(block) -> (m x width), on the driver or in tasks."""
+    def sweep(self, fn, m: int, width: int, shared: np.ndarray | None = None) -> np.ndarray:
+        """Sum over blocks of fn(block, shared) -> (m x width), on the driver or in tasks; `shared` is broadcast once."""
         if self.local:
             out = np.zeros((m, width))
             for b in self.blocks:
-                out += fn(b)
+                out += fn(b) if shared is None else fn(b, shared)
             return out
         names = [f"c{r}" for r in range(width)]
+        sent = None if shared is None else self.frame.entries.sparkSession.sparkContext.broadcast(shared)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((m, width))
+            total = None
             for blk in _blocks(batches):
-                total += fn(blk)
+                x = fn(blk) if sent is None else fn(blk, sent.value)
+                total = x if total is None else np.add(total, x, out=total)
+            if total is None:
+                return
             rows = np.flatnonzero(total.any(axis=1))
             pdf = pd.DataFrame(total[rows], columns=names)
             pdf.insert(0, "i", rows)
             yield pdf
 
         r = self.frame_blocks.mapInPandas(run, "i long, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+        if sent is not None:
+            sent.unpersist()
         out = np.zeros((m, width))
         out[r["i"].to_numpy()] = r[names].to_numpy()
         return out

@@ -40,8 +40,9 @@ def nnls_clip(g: np.ndarray, b: np.ndarray, nonneg: bool = True, upper: float =
     return np.minimum(x, upper) if upper > 0 else x
 
 
-def nnls(g: np.ndarray, b: np.ndarray, solver: str = "cd", nonneg: bool = True, upper: float = 0.0, **kw) -> np.ndarray:
-    return nnls_clip(g, b, nonneg, upper) if solver == "cholesky" else nnls_cd(g, b, None, nonneg, upper, **kw)
+def nnls(g: np.ndarray, b: np.ndarray, solver: str = "cd", nonneg: bool = True, upper: float = 0.0, x: np.ndarray | None = None, **kw) -> np.ndarray:
+    """x: where coordinate descent starts."""
+    return nnls_clip(g, b, nonneg, upper) if solver == "cholesky" else nnls_cd(g, b, x, nonneg, upper, **kw)
 
 
 def nnls_each(g: np.ndarray, b: np.ndarray, nonneg: bool = True, upper: float = 0.0, sweeps: int = 100, tol: float = 1e-8, solver: str = "cd") -> np.ndarray:
