@@ -58,7 +58,7 @@ class Plan:
     mask: np.ndarray | None = None  # sorted keys j * m + i of entries left out
     projective: bool = False
     rounds: int = 5  # reweighting rounds for losses other than squared error
-    still: float = 1e-4  # rounds end when no coefficient of a block moves more than this, relatively
+    still: float = 1e-4  # rounds of a sample end when none of its coefficients moves more than this, relatively
     d: np.ndarray | None = None
     per_row: np.ndarray | None = None  # size or theta of each row
     per_col: bool = False  # size or theta of each sample, found from its own entries while it is solved
@@ -170,15 +170,16 @@ def solve_block(blk: Block, w: np.ndarray, g: np.ndarray, p: Plan) -> tuple[np.n
         fixed -= sum_by(cols[o], outer(rows[o]), nb)
     h = nnls_each(fixed.reshape(nb, k, k), b0, rule.nonneg, rule.upper, solver=rule.solver)
     if p.loss.reweighted:
-        prod = outer(idx)
+        prod, going = outer(idx), np.ones(nb, bool)
         for _ in range(p.rounds):
             mu = np.einsum("ek,ek->e", w[idx], h[col])
             wt = weights(val, mu, p.loss_of(spread(blk, h, w, g, p, idx, col, val)))
             bw = sum_by(col, (wt * val)[:, None] * w[idx], nb) + (b0 - b)
             new = nnls_each((fixed + sum_by(col, (wt - 1)[:, None] * prod, nb)).reshape(nb, k, k), bw, rule.nonneg, rule.upper, solver=rule.solver)
-            moved = np.abs(new - h).max(initial=0.0) / (np.abs(new).max(initial=0.0) + EPS)
-            h = new
-            if moved < p.still:
+            moved = np.abs(new - h).max(axis=1) / (np.abs(new).max(axis=1) + EPS)
+            h = np.where(going[:, None], new, h)
+            going &= moved >= p.still  # each sample by itself, so that blocks do not matter
+            if not going.any():
                 break
     return h, extra
 

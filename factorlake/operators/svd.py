@@ -115,8 +115,8 @@ def pick_method(m: int, n: int, k: int, robust: bool = False, constrained: bool
     return "irlba" if k >= 64 or min(m, n) < 4 * k else "lanczos"
 
 
-def svd(a: MatrixFrame, k: int | str = 10, method: str = "auto", center: bool = False, scale: bool = False, tol: float = 1e-7, maxit: int = 100, seed: int = 1, l1: tuple[float, float] | float = 0.0, l2: tuple[float, float] | float = 0.0, nonneg: tuple[bool, bool] | bool = False, upper: tuple[float, float] | float = 0.0, robust: bool = False, test_fraction: float = 0.0, cv_seed: int = 1, patience: int = 3, k_max: int = 50, local_nnz: int = LOCAL_NNZ) -> SVD:
-    """k: a rank or "auto" (by held-out entries)."""
+def svd(a: MatrixFrame, k: int | str = 10, method: str = "auto", center: bool = False, scale: bool = False, tol: float = 1e-7, maxit: int = 100, seed: int = 1, l1: tuple[float, float] | float = 0.0, l2: tuple[float, float] | float = 0.0, nonneg: tuple[bool, bool] | bool = False, upper: tuple[float, float] | float = 0.0, robust: bool = False, test_fraction: float = 0.0, cv_seed: int = 1, patience: int = 3, k_max: int = 50, power: int = 3, local_nnz: int = LOCAL_NNZ) -> SVD:
+    """k: a rank or "auto" (by held-out entries); power: steps of the randomized method."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     pair = lambda x: tuple(x) if isinstance(x, (tuple, list)) else (x, x)
@@ -143,7 +143,7 @@ def svd(a: MatrixFrame, k: int | str = 10, method: str = "auto", center: bool =
         u, d, v, more = _deflation(a, op, k, tol, maxit, seed, l1, l2, nonneg, upper, robust, test_fraction, cv_seed, patience if auto else 0, local_nnz)
         return SVD(u, d, frame(a.entries.sparkSession, v, "j", "v"), a.n, misc | more)
     if picked == "randomized":
-        u, d = _randomized(op, k, seed)
+        u, d = _randomized(op, k, seed, power)
     elif picked == "krylov" and constrained:
         u, d, v, more = _deflation(a, op, k, tol, maxit, seed, l1, l2, nonneg, upper, False, 0.0, 1, 0, local_nnz, start=_krylov(op, k, tol, seed)[0])
         return SVD(u, d, frame(a.entries.sparkSession, v, "j", "v"), a.n, misc | more)

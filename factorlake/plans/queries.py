@@ -21,12 +21,13 @@ from ..operators import graph as G
 from ..operators import guide, linalg, simulate
 from ..operators.models import NMF
 from ..operators.neighbours import knn
-from ..operators.nmf import Config, Fit, auto_rank, nmf, project
+from ..operators.nmf import Config, Fit, auto_rank, nmf, nnls_fit, project, project_named
 from ..operators.svd import pca, svd
 from ..sources import store
 from ..sources.matrix import MatrixFrame
 from ..streaming import projection
-from .data import SCALE, activity, fixed_w, h_frame, supply, table, vectors, w_frame, with_regions
+from . import unrolled as U
+from .data import SCALE, activity, fixed_h, fixed_w, h_frame, supply, table, vectors, w_frame, with_regions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,7 +131,7 @@ def quant8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.quantise8(supply(spark, sf_dir).entries, F.floor(F.col("j") / 500)).withColumn("v", r("v"))
 
 
-@query()
+@query(f"WITH {A_SQL}, x AS (SELECT i, j, v * 1.0001::DOUBLE AS v FROM a) SELECT i, j, round_even(v / power(2, floor(log2(v)) - 10), 0) * power(2, floor(log2(v)) - 10) AS v FROM x")
 def fp16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supply(spark, sf_dir).entries.select("i", "j", store.half(F.col("v") * 1.0001).alias("v"))
 
@@ -158,11 +159,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stores/{uuid.uuid4().hex}"
 
 
-@query("WITH t AS (SELECT doc_id AS j, unnest(string_split(lower(text), ' ')) AS term FROM documents) SELECT term, count(DISTINCT j) AS docs, count(*) AS n FROM t WHERE term <> '' GROUP BY term HAVING count(*) >= 50")
+@query("WITH t AS (SELECT doc_id AS j, unnest(string_split(lower(text), ' ')) AS term FROM documents) SELECT term, count(DISTINCT j) AS docs, count(*) AS n FROM t WHERE term <> '' GROUP BY term")
 def term_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("j"), F.explode(F.split(F.lower("text"), " ")).alias("term")).where("term <> ''")
     cells = t.groupBy("term", "j").agg(F.count("*").alias("v"))
-    return cells.groupBy("term").agg(F.count("*").alias("docs"), F.sum("v").alias("n")).where("n >= 50")
+    return cells.groupBy("term").agg(F.count("*").alias("docs"), F.sum("v").alias("n"))
 
 
 # ---------------------------------------------------------------- linear algebra
@@ -289,9 +290,12 @@ def gamma_phi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.pearson_phi(_fit(spark, sf_dir), 2.0).select("i", r("phi").alias("phi"))
 
 
-@query()
+_TH = ", ".join(f"q{t} AS (SELECT i, sum(CASE WHEN v >= 1 THEN (v - 1) * theta * v / greatest(mu + theta * v, 1e-10) ELSE 0 END) AS c, sum(v - mu) AS r, sum(v) AS y FROM fit JOIN p{t} USING (i) GROUP BY i), p{t + 1} AS (SELECT i, least(greatest((-(y - r - c) + sqrt(power(y - r - c, 2) + 4 * y * c)) / (2 * y), 0), 5) AS theta FROM q{t})" for t in range(5))
+
+
+@query(f"WITH {A_SQL}, {W_SQL}, {H_SQL}, {FIT_SQL}, p0 AS (SELECT DISTINCT i, 0.1::DOUBLE AS theta FROM fit), {_TH} SELECT i, round(theta, 6) AS theta FROM p5")
 def gp_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.gp_theta(_fit(spark, sf_dir))
+    return D.gp_theta(_fit(spark, sf_dir)).select("i", r("theta").alias("theta"))
 
 
 @query(f"WITH {A_SQL} SELECT list_sort(list(v))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM a")
@@ -350,62 +354,133 @@ def _checks(spark: SparkSession, rows: list[tuple[str, bool]]) -> DataFrame:
     return spark.createDataFrame([(k, bool(v)) for k, v in rows], "check string, holds boolean")
 
 
-def _holds(*names: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS \"check\", true AS holds" for n in names)
+def _two(spark: SparkSession, a: MatrixFrame, **kw) -> DataFrame:
+    """Three iterations of rank two from the fixed factor, by closed systems: (i, w0, w1, d0, d1)."""
+    f = nmf(a, 2, maxit=3, tol=0.0, init=fixed_w(a.m, 2), solver="cholesky", sort_model=False, **kw)
+    out = f.w_frame().select("i", r(F.col("w")[0] * 1000, 5).alias("w0"), r(F.col("w")[1] * 1000, 5).alias("w1"))
+    return out.withColumns({f"d{q}": r(F.lit(float(f.d[q])), 2) for q in (0, 1)})
 
 
-def _valid(f: NMF) -> list[tuple[str, bool]]:
-    h = f.h.select(F.posexplode("h").alias("q", "x")).groupBy("q").agg(F.sum("x").alias("s"), F.min("x").alias("low")).toPandas()
-    loss = np.array(f.misc["train_loss"])
-    return [
-        ("w columns sum to one", np.allclose(f.w.sum(axis=0), 1, atol=1e-6)),
-        ("h rows sum to one", np.allclose(h["s"], 1, atol=1e-6)),
-        ("no negative entry", f.w.min() >= 0 and h["low"].min() >= 0),
-        ("factors are sorted", bool((np.diff(f.d) <= 0).all())),
-        ("loss falls", loss[-1] <= loss[0] * (1 + 1e-9)),
-    ]
+_TWO = "SELECT i, round(w0 * 1000, 5) AS w0, round(w1 * 1000, 5) AS w1, round(d0, 2) AS d0, round(d1, 2) AS d1 FROM done"
+_MSE = f"WITH {A_SQL}, {W_SQL}, {U.rank_two(3)} {_TWO}"
+_PENALTIES = f"WITH {A_SQL}, {W_SQL}, {U.rank_two(3, 0.001, 0.1, 0.02, 0.01)} {_TWO}"
+_MASKED = f"WITH {A_SQL.replace('a AS (SELECT', 'all_ AS (SELECT', 1).replace('FROM a)', 'FROM all_)')}, a AS (SELECT * FROM all_ WHERE (i * 31 + j * 17) % 10 <> 0), {W_SQL}, {U.rank_two_masked(3)} {_TWO}"
+_PENALTY = {"l1": (0.001, 0.001), "l2": (0.1, 0.1), "l21": (0.02, 0.02), "angular": (0.01, 0.01)}
 
 
-_VALID = ("w columns sum to one", "h rows sum to one", "no negative entry", "factors are sorted", "loss falls")
+def _mask(a: MatrixFrame) -> tuple[str, DataFrame]:
+    return "zeros", a.entries.where("(i * 31 + j * 17) % 10 = 0").select("i", "j")
 
 
-@query(_holds(*_VALID))
+@query(_MSE)
 def nmf_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checks(spark, _valid(nmf(supply(spark, sf_dir), 8, maxit=20, tol=0.0)))
+    return _two(spark, supply(spark, sf_dir))
+
 
+@query(_MSE)
+def nmf_mse_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in tasks, as for a matrix that the driver cannot hold."""
+    return _two(spark, supply(spark, sf_dir), local_nnz=0)
 
-@query(_holds(*_VALID[:4]))  # the plain loss need not fall where penalties are part of what is minimised
+
+@query(_PENALTIES)
 def nmf_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checks(spark, _valid(nmf(supply(spark, sf_dir), 5, maxit=10, l1=(0.01, 0.01), l2=(0.1, 0.1), l21=(0.01, 0.01), angular=(0.001, 0.001)))[:4])
+    return _two(spark, supply(spark, sf_dir), **_PENALTY)
+
+
+@query(_PENALTIES)
+def nmf_penalties_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two(spark, supply(spark, sf_dir), local_nnz=0, **_PENALTY)
+
+
+@query(_MASKED)
+def nmf_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = supply(spark, sf_dir)
+    return _two(spark, a, mask=_mask(a))
+
+
+@query(_MASKED)
+def nmf_masked_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = supply(spark, sf_dir)
+    return _two(spark, a, mask=_mask(a), local_nnz=0)
+
+
+def _one(spark: SparkSession, a: MatrixFrame, maxit: int = 2, **kw) -> DataFrame:
+    """Two iterations of rank one with all reweighting rounds: (i, w, d)."""
+    f = nmf(a, 1, maxit=maxit, tol=0.0, init=fixed_w(a.m, 1), still=0.0, **kw)
+    return f.w_frame().select("i", r(F.col("w")[0] * 1000, 5).alias("w")).withColumn("d", r(F.lit(float(f.d[0])), 3))
 
 
-@query(_holds(*_VALID))
+_ONE = "SELECT i, round(w * 1000, 5) AS w, round(d, 3) AS d FROM done"
+_KL = f"WITH {ACT_SQL}, {W_SQL}, {U.rank_one(2, '1 / greatest(mu, 1e-4)')} {_ONE}"
+_NB = "least(z / (greatest(mu, 1e-10) * (z + greatest(mu, 1e-10))), 1e6)"
+_ROBUST = "CASE WHEN abs(v - mu) > 1.345 THEN 1.345 / abs(v - mu) ELSE 1 END"
+_GRAPH = "l AS (SELECT j AS a, j AS b, 2.0::DOUBLE AS v FROM (SELECT unnest(range(n)) AS j FROM dims) UNION ALL SELECT j, (j + 1) % n, -1.0 FROM (SELECT unnest(range(n)) AS j FROM dims), dims UNION ALL SELECT (j + 1) % n, j, -1.0 FROM (SELECT unnest(range(n)) AS j FROM dims), dims)"
+
+
+@query(_KL)
 def nmf_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checks(spark, _valid(nmf(activity(spark, sf_dir), 2, maxit=15, loss="kl")))
+    return _one(spark, activity(spark, sf_dir), loss="kl")
+
 
+@query(_KL)
+def nmf_kl_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one(spark, activity(spark, sf_dir), loss="kl", local_nnz=0)
 
-@query(_holds(*_VALID))
+
+@query(f"WITH {ACT_SQL}, {W_SQL}, {U.rank_one(2, _NB)} {_ONE}")
 def nmf_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checks(spark, _valid(nmf(activity(spark, sf_dir), 2, maxit=15, loss="nb", loss_args={"size": 5.0})))
+    return _one(spark, activity(spark, sf_dir), loss="nb", loss_args={"size": 5.0}, dispersion="none")
+
+
+@query(f"WITH {ACT_SQL}, {W_SQL}, {U.rank_one(3, _NB, sizes=True)} SELECT i, round(ln(z), 5) AS log_size FROM size")
+def nmf_nb_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the rows, found anew in each of three iterations."""
+    a = activity(spark, sf_dir)
+    f = nmf(a, 1, maxit=3, tol=0.0, init=fixed_w(a.m, 1), still=0.0, loss="nb", loss_args={"size": 5.0}, dispersion="per_row")
+    return spark.createDataFrame([(i, float(np.log(x))) for i, x in enumerate(f.misc["size"])], "i long, x double").select("i", r("x", 5).alias("log_size"))
+
+
+_THETA = f"WITH {ACT_SQL}, {W_SQL}, {U.rank_one(1, '1 / greatest(mu, 1e-4)')}, f AS (SELECT a.i, a.v, greatest(x.w * x.d * h / s0.d, 1e-10) AS mu FROM a JOIN w1_ x ON x.i = a.i JOIN h0_5 ON h0_5.j = a.j, s0), t AS (SELECT i, w * d AS total FROM w1_), {U.theta()} SELECT i, round(theta, 6) AS theta FROM th5"
 
 
-@query(_holds(*_VALID))
+@query(_THETA)
+def nmf_gp_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = activity(spark, sf_dir)
+    f = nmf(a, 1, maxit=1, tol=0.0, init=fixed_w(a.m, 1), still=0.0, loss="gp", dispersion="per_row")
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(f.misc["theta"])], "i long, x double").select("i", r("x").alias("theta"))
+
+
+@query(_THETA)
+def nmf_gp_dispersion_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = activity(spark, sf_dir)
+    f = nmf(a, 1, maxit=1, tol=0.0, init=fixed_w(a.m, 1), still=0.0, loss="gp", dispersion="per_row", local_nnz=0)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(f.misc["theta"])], "i long, x double").select("i", r("x").alias("theta"))
+
+
+@query(f"WITH {ACT_SQL}, {W_SQL}, {U.rank_one(2, _ROBUST)} {_ONE}")
 def nmf_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checks(spark, _valid(nmf(activity(spark, sf_dir), 2, maxit=10, robust=True)))
+    return _one(spark, activity(spark, sf_dir), robust=True)
 
 
-@query(_holds(*_VALID))
-def nmf_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = supply(spark, sf_dir)
-    mask = a.entries.where("(i * 31 + j * 17) % 10 = 0").select("i", "j")
-    return _checks(spark, _valid(nmf(a, 4, maxit=8, mask=("zeros", mask))))
+@query(f"WITH {ACT_SQL}, {W_SQL}, {_GRAPH}, {U.rank_one(3, '1.0', rounds=0, graph=0.3)} {_ONE}")
+def nmf_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of samples as the graph on H."""
+    a = activity(spark, sf_dir)
+    j, up = F.col("id"), (F.col("id") + 1) % a.n
+    ring = spark.range(a.n)
+    ring = ring.select(j.alias("a"), j.alias("b"), F.lit(2.0).alias("v")).unionByName(ring.select(j.alias("a"), up.alias("b"), F.lit(-1.0).alias("v"))).unionByName(ring.select(up.alias("a"), j.alias("b"), F.lit(-1.0).alias("v")))
+    return _one(spark, a, 3, graph_h=ring, graph_h_weight=0.3)
+
 
+_STARTS = ", ".join(f"x{q} AS (SELECT i, 1.0::DOUBLE + (i * 7 + {3 * q}) % 5 AS w FROM (SELECT unnest(range(m)) AS i FROM dims)), hx{q} AS (SELECT j, sum(v * w) / (SELECT sum(w * w) FROM x{q}) AS h FROM a JOIN x{q} USING (i) GROUP BY j), nx{q} AS (SELECT j, h / (SELECT sum(h) FROM hx{q}) AS h FROM hx{q}), ux{q} AS (SELECT i, sum(v * h) AS b, sum(v * h) / (SELECT sum(h * h) FROM nx{q}) AS w FROM a JOIN nx{q} USING (j) GROUP BY i)" for q in range(3))
 
-@query(_holds("better than the worst start", "three starts"))
+
+@query(f"WITH {ACT_SQL}, {_STARTS} " + " UNION ALL ".join(f"SELECT {q} AS start, round((SELECT sum(v * v) FROM a) - 2 * sum(w * b) + sum(w * w) * (SELECT sum(h * h) FROM nx{q}), 3) AS loss FROM ux{q}" for q in range(3)))
 def nmf_multi_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = nmf(activity(spark, sf_dir), 2, maxit=10, seeds=[1, 2, 3])
-    t = f.misc["all_inits"]
-    return _checks(spark, [("better than the worst start", f.misc["loss"] <= max(x[1] for x in t)), ("three starts", len(t) == 3)])
+    a = activity(spark, sf_dir)
+    f = nmf(a, 1, maxit=1, tol=0.0, seeds=[fixed_w(a.m, 3)[:, [q]] for q in range(3)])
+    return spark.createDataFrame([(k, x) for k, x, _ in f.misc["all_inits"]], "start int, x double").select("start", r("x", 3).alias("loss"))
 
 
 @query()
@@ -440,39 +515,82 @@ def speckled_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.mapInPandas(run, "j long, t long").groupBy("j").agg(F.sum("t").alias("test"), F.count("*").alias("n"))
 
 
-_SVD = ("left vectors are orthonormal", "right vectors are orthonormal", "values fall", "under the Frobenius norm")
+_TOP = f"WITH {A_SQL}, {U.power(12)} SELECT i, round(u, 5) AS u, round(d, 2) AS d FROM u, top"
 
 
-def _svd_checks(spark: SparkSession, s) -> DataFrame:
-    k = s.k
-    g = linalg.gram(s.v.withColumnRenamed("v", "h"), k, ridge=0.0)
-    return _checks(spark, [(_SVD[0], np.allclose(s.u.T @ s.u, np.eye(k), atol=1e-6)), (_SVD[1], np.allclose(g, np.eye(k), atol=1e-5)), (_SVD[2], bool((np.diff(s.d) <= 1e-9).all())), (_SVD[3], (s.d**2).sum() <= s.misc["frobenius_sq"] * (1 + 1e-9))])
+def _top(spark: SparkSession, sf_dir: str, method: str, **kw) -> DataFrame:
+    """The first left vector and singular value of five; all entries of the vector have one sign."""
+    a = supply(spark, sf_dir)
+    s = svd(a, 5, method=method, **kw)
+    if not np.allclose(s.u.T @ s.u, np.eye(5), atol=1e-6) or (np.diff(s.d) > 1e-9).any():
+        raise ValueError("the factors are not orthonormal and sorted")
+    rows = [(i, float(abs(x)), float(s.d[0])) for i, x in enumerate(s.u[:, 0]) if abs(x) > 1e-12]
+    return spark.createDataFrame(rows, "i long, u double, d double").select("i", r("u", 5).alias("u"), r("d", 2).alias("d"))
 
 
-@query(_holds(*_SVD))
+@query(_TOP)
 def svd_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _svd_checks(spark, svd(supply(spark, sf_dir), 5, method="lanczos"))
+    return _top(spark, sf_dir, "lanczos")
+
 
+@query(_TOP)
+def svd_lanczos_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, "lanczos", local_nnz=0)
 
-@query(_holds(*_SVD))
+
+@query(_TOP)
 def svd_randomized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _svd_checks(spark, svd(supply(spark, sf_dir), 5, method="randomized"))
+    return _top(spark, sf_dir, "randomized", power=7)
+
 
+@query(_TOP)
+def svd_randomized_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, "randomized", power=7, local_nnz=0)
 
-@query(_holds(*_SVD))
+
+@query(_TOP)
 def svd_irlba(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _svd_checks(spark, svd(supply(spark, sf_dir), 5, method="irlba"))
+    return _top(spark, sf_dir, "irlba")
 
 
-@query(_holds(*_SVD))
+@query(_TOP)
 def svd_krylov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _svd_checks(spark, svd(supply(spark, sf_dir), 5, method="krylov"))
+    return _top(spark, sf_dir, "krylov")
+
+
+_METHODS = ("lanczos", "irlba", "randomized", "krylov")
+
+
+@query(f"WITH {ACT_SQL}, c AS (SELECT x.i AS p, y.i AS q, sum(x.v * y.v) AS c FROM a x JOIN a y USING (j) GROUP BY 1, 2), s AS (SELECT p, q, sum(x.c * y.c) AS c FROM (SELECT p, q AS o, c FROM c) x JOIN (SELECT p AS o, q, c FROM c) y USING (o) GROUP BY p, q) SELECT m.method, round(ln((SELECT sum(c) FROM c WHERE p = q)), 6) AS p1, round(ln((SELECT sum(c * c) FROM c)), 6) AS p2, round(ln((SELECT sum(s.c * c.c) FROM s JOIN c USING (p, q))), 6) AS p3 FROM (VALUES " + ", ".join(f"('{x}')" for x in _METHODS) + ") m(method)")
+def svd_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All singular values by each method, as power sums of the squares, which SQL has as traces."""
+    a = activity(spark, sf_dir)
+    rows = []
+    for x in _METHODS:
+        d = svd(a, min(a.m, a.n), method=x).d
+        rows.append((x, *(float(np.log((d ** (2 * p)).sum())) for p in (1, 2, 3))))
+    return spark.createDataFrame(rows, "method string, p1 double, p2 double, p3 double").select("method", *[r(c).alias(c) for c in ("p1", "p2", "p3")])
 
 
-@query(_holds(*_SVD))
+@query(f"WITH {VEC_SQL}, d AS (SELECT id, unnest(x) AS v, unnest(range(len(x))) AS i FROM e), m AS (SELECT i, avg(v) AS mean FROM d GROUP BY i), z AS (SELECT id, i, v - mean AS v FROM d JOIN m USING (i)), c AS (SELECT x.i AS p, y.i AS q, sum(x.v * y.v) AS c FROM z x JOIN z y USING (id) GROUP BY 1, 2) SELECT round(ln((SELECT sum(c) FROM c WHERE p = q)), 6) AS p1, round(ln((SELECT sum(c * c) FROM c)), 6) AS p2")
 def pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = vectors(spark, sf_dir).select("id", "x")
-    return _svd_checks(spark, pca(MatrixFrame.from_vectors(e, "id", "x"), 6))
+    """All components of the embeddings, as power sums of their variances."""
+    a = MatrixFrame.from_vectors(vectors(spark, sf_dir).select("id", "x"), "id", "x")
+    d = pca(a, min(a.m, a.n)).d
+    return spark.createDataFrame([tuple(float(np.log((d ** (2 * p)).sum())) for p in (1, 2))], "p1 double, p2 double").select(r("p1").alias("p1"), r("p2").alias("p2"))
+
+
+@query(f"WITH {A_SQL}, {U.power(12)} SELECT round(d * d / (SELECT sum(v * v) FROM a), 6) AS share FROM top")
+def variance_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = svd(supply(spark, sf_dir), 2)
+    return spark.createDataFrame([(float(s.variance_explained()[0]),)], "share double").select(r("share").alias("share"))
+
+
+@query(f"WITH {A_SQL}, {U.power(12)} SELECT i, round(u, 5) AS score FROM u")
+def predict_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the matrix itself as new observations: their scores are the left vector."""
+    a = supply(spark, sf_dir)
+    return svd(a, 2).predict(a.entries).select("i", r(F.abs(F.col("score")[0]), 5).alias("score"))
 
 
 @query(f"WITH {VEC_SQL}, d AS (SELECT id, unnest(x) AS v, unnest(range(len(x))) AS i FROM e), m AS (SELECT i, avg(v) AS mean FROM d GROUP BY i) SELECT round(sum(power(v - mean, 2)), 5) AS frobenius_sq FROM d JOIN m USING (i)")
@@ -497,10 +615,12 @@ def svd_auto_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- clustering
 
 
-@query(f"WITH {A_SQL} SELECT (SELECT n FROM dims) AS samples, true AS both_sides")
+@query(f"WITH {A_SQL}, {W_SQL}, {U.split(4)} SELECT j, cluster FROM sides")
 def bipartition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = C.bipartition(supply(spark, sf_dir))
-    return spark.createDataFrame([(s.size0 + s.size1, s.size0 > 0 and s.size1 > 0)], "samples long, both_sides boolean")
+    """Sides after four closed steps from the fixed factor."""
+    a = supply(spark, sf_dir)
+    s = C.bipartition(a, init=fixed_w(a.m, 2), maxit=4, tol=-1.0)
+    return spark.createDataFrame([(int(j), int(c)) for j, c in zip(s.samples, s.cluster)], "j long, cluster int")
 
 
 @query()
@@ -514,10 +634,12 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, int(x)) for i, x in enumerate(c.clusters)], "i int, cluster int")
 
 
-@query("WITH c AS (SELECT rep, i, (i * rep) % 4 AS c FROM (SELECT unnest(range(1, 6)) AS rep), (SELECT unnest(range(40)) AS i)) SELECT x.i, y.i AS i2, count(*) / 5.0::DOUBLE AS share FROM c x JOIN c y ON x.rep = y.rep AND x.c = y.c AND x.i <= y.i GROUP BY x.i, y.i")
+@query("WITH c AS (SELECT unnest(range(1, 6)) AS rep, s_suppkey AS i, s_nationkey AS k FROM supplier), d AS (SELECT rep, i, (k * rep) % 4 AS c FROM c) SELECT x.i, y.i AS i2, count(*) / 5.0::DOUBLE AS share FROM d x JOIN d y ON x.rep = y.rep AND x.c = y.c AND x.i <= y.i GROUP BY x.i, y.i")
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.range(200).select((F.floor(F.col("id") / 40) + 1).alias("rep"), (F.col("id") % 40).alias("i"))
-    return C.connectivity(a.select("rep", "i", (F.col("i") * F.col("rep") % 4).alias("cluster")), 5)
+    """Suppliers that five groupings of the nations put together."""
+    reps = spark.range(1, 6).select(F.col("id").alias("rep"))
+    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), "s_nationkey").crossJoin(F.broadcast(reps))
+    return C.connectivity(a.select("rep", "i", (F.col("s_nationkey") * F.col("rep") % 4).alias("cluster")), 5)
 
 
 # ---------------------------------------------------------------- assessment
@@ -613,6 +735,190 @@ def assess_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(A.assess(v.select("id", "x"), v.select("id", F.col("label").cast("string").alias("label")), metrics=("ari", "nmi", "silhouette", "knn"), n_folds=3, starts=1))
 
 
+@query(f"WITH {_PRED}, s AS (SELECT label, count(*) AS support, count(*) FILTER (label = pred) AS hit FROM p GROUP BY label), q AS (SELECT pred AS label, count(*) AS said FROM p GROUP BY pred), m AS (SELECT label, support, CASE WHEN coalesce(said, 0) > 0 THEN hit / CAST(said AS DOUBLE) ELSE 0 END AS pr, hit / CAST(support AS DOUBLE) AS rc FROM s LEFT JOIN q USING (label)), f AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f1 FROM m) SELECT round(avg(pr), 6) AS macro_precision, round(avg(rc), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, round((SELECT avg(CAST(label = pred AS INT)) FROM p), 6) AS accuracy FROM f")
+def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = A.overall(_pred(spark, sf_dir))
+    return o.select(*[r(c).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1", "weighted_f1", "accuracy")])
+
+
+@query(f"WITH {VEC_SQL}, u AS (SELECT id, unnest(x) AS v, unnest(range(len(x))) AS r FROM e), t AS (SELECT r, avg(v) AS m, stddev_samp(v) AS s FROM u WHERE id % 5 <> 0 GROUP BY r) SELECT id, round(sum(power((v - m) / s, 2)), 5) AS length FROM u JOIN t USING (r) GROUP BY id")
+def z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", "x")
+    return A.scaled(v, v.where("id % 5 <> 0")).select("id", r(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x), 5).alias("length"))
+
+
+# ---------------------------------------------------------------- models of fixed factors, projections
+
+
+def _model(spark: SparkSession, a: MatrixFrame) -> NMF:
+    return NMF(fixed_w(a.m), SCALE, h_frame(spark, a.n), a.n)
+
+
+@query(SQL["nnls_project"])
+def predict_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = supply(spark, sf_dir)
+    h = NMF(fixed_w(a.m, 2), np.ones(2), h_frame(spark, a.n, 2), a.n).predict(a).join(a.entries.select("j").distinct(), "j")
+    return h.select("j", r(F.col("h")[0], 5).alias("h0"), r(F.col("h")[1], 5).alias("h1"))
+
+
+@query(f"WITH {A_SQL}, {W_SQL}, {H_SQL}, {FIT_SQL} SELECT (SELECT round(sum(power(coalesce(v, 0) - (0.1 * w0 * h0 + 0.2 * w1 * h1 + 0.3 * w2 * h2), 2)) / max(m * n), 5) FROM w CROSS JOIN h CROSS JOIN dims LEFT JOIN a ON a.i = w.i AND a.j = h.j) AS mse, (SELECT round(avg(v * ln(v / mu) - v + mu), 5) FROM fit) AS kl")
+def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = supply(spark, sf_dir)
+    m = _model(spark, a)
+    x = spark.createDataFrame([(m.evaluate(a), m.evaluate(a, "kl", domain="stored"))], "mse double, kl double")
+    return x.select(r("mse", 5).alias("mse"), r("kl", 5).alias("kl"))
+
+
+@query(f"WITH {ACT_SQL}, {W_SQL}, {H_SQL} SELECT w.i, h.j, round(0.1 * w0 * h0 + 0.2 * w1 * h1 + 0.3 * w2 * h2, 6) AS v FROM w CROSS JOIN h")
+def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, activity(spark, sf_dir)).reconstruct().select("i", "j", r("v").alias("v"))
+
+
+@query(f"WITH {A_SQL}, {W_SQL} SELECT i, w0, w1, w2 FROM w")
+def align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors in another order, brought back by the best matching."""
+    m = _model(spark, supply(spark, sf_dir))
+    return m.factors([2, 0, 1]).align(m).w_frame().select("i", *[F.col("w")[q].alias(f"w{q}") for q in range(3)])
+
+
+@query(f"WITH {A_SQL}, {H_SQL} SELECT j, CASE WHEN h0 >= h1 AND h0 >= h2 THEN 0 WHEN h1 >= h2 THEN 1 ELSE 2 END AS factor FROM h")
+def largest_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = h_frame(spark, supply(spark, sf_dir).n)
+    return h.select("j", (F.array_position("h", F.array_max("h")) - 1).cast("int").alias("factor"))
+
+
+@query(f"WITH {A_SQL}, {W_SQL}, g AS (SELECT sum(w0 * w0) AS g FROM w) SELECT j, round(least(greatest(sum(v * w0) / max(g), 0), 1.5), 6) AS h FROM a JOIN w USING (i), g GROUP BY j")
+def nnls_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = supply(spark, sf_dir)
+    return project(a, fixed_w(a.m, 1), upper=1.5).join(a.entries.select("j").distinct(), "j").select("j", r(F.col("h")[0]).alias("h"))
+
+
+@query(f"WITH {A_SQL}, {H_SQL} SELECT i, round(sum(v * h0) / (SELECT sum(h0 * h0) FROM h), 6) AS w FROM a JOIN h USING (j) GROUP BY i")
+def nnls_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = supply(spark, sf_dir)
+    w = nnls_fit(a, h=fixed_h(a.n, 1)).join(a.entries.select("i").distinct(), "i")
+    return w.select("i", r(F.col("h")[0]).alias("w"))
+
+
+@query(f"WITH {VEC_SQL}, u AS (SELECT id, unnest(x) AS v, unnest(range(len(x))) AS i FROM e), w AS (SELECT i, 1.0::DOUBLE + (i * 7) % 5 AS w FROM (SELECT DISTINCT i FROM u)) SELECT row_number() OVER (ORDER BY id) - 1 AS j, round(sum(v * w) / (SELECT sum(w * w) FROM w), 6) AS h FROM u JOIN w USING (i) GROUP BY id")
+def semi_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed data without the sign constraint."""
+    a = MatrixFrame.from_vectors(vectors(spark, sf_dir).select("id", "x"), "id", "x")
+    return project(a, fixed_w(a.m, 1), nonneg=False).select("j", r(F.col("h")[0]).alias("h"))
+
+
+@query(f"WITH {A_SQL}, {W_SQL}, g AS (SELECT sum(w0 * w0) AS g00, sum(w0 * w1) AS g01, sum(w1 * w1) AS g11 FROM w), b AS (SELECT j, sum(v * w0) AS b0, sum(v * w1) AS b1 FROM a JOIN w USING (i) GROUP BY j) SELECT j, round(greatest((b0 * g11 - b1 * g01) / (g00 * g11 - g01 * g01), 0), 5) AS h0, round(greatest((b1 * g00 - b0 * g01) / (g00 * g11 - g01 * g01), 0), 5) AS h1 FROM b, g")
+def cholesky_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = supply(spark, sf_dir)
+    h = project(a, fixed_w(a.m, 2), solver="cholesky", local_nnz=0).join(a.entries.select("j").distinct(), "j")
+    return h.select("j", r(F.col("h")[0], 5).alias("h0"), r(F.col("h")[1], 5).alias("h1"))
+
+
+@query(f"WITH {A_SQL}, {W_SQL}, b AS (SELECT i, j, v, w0 FROM a JOIN w USING (i) WHERE i % 2 = 0) SELECT j, round(sum(v * w0) / (SELECT sum(w0 * w0) FROM w WHERE i % 2 = 0 AND i IN (SELECT i FROM a)), 6) AS h FROM b GROUP BY j")
+def project_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are matched by name; the factor has every second one only."""
+    a = supply(spark, sf_dir)
+    names = a.entries.select("i").distinct().select("i", F.concat(F.lit("s"), F.col("i")).alias("name"))
+    a = MatrixFrame(a.entries, a.m, a.n, row_names=names)
+    w = w_frame(spark, a.m, 1).where("i % 2 = 0").select(F.concat(F.lit("s"), F.col("i")).alias("name"), "w")
+    h = project_named(a, w, 1).join(a.entries.where("i % 2 = 0").select("j").distinct(), "j")
+    return h.select("j", r(F.col("h")[0]).alias("h"))
+
+
+@query(f"WITH {A_SQL}, {H_SQL}, s AS (SELECT sum(h0) AS d, sum(h0 * h0) AS g FROM h), w AS (SELECT i, sum(v * h0) / (SELECT g FROM s) AS w FROM a JOIN h USING (j) GROUP BY i), n0 AS (SELECT i, w / (SELECT sum(w) FROM w) AS w FROM w), y AS (SELECT j, sum(v * w) / (SELECT sum(w * w) FROM n0) AS h FROM a JOIN n0 USING (i) GROUP BY j), z AS (SELECT j, h / (SELECT sum(h) FROM y) AS h FROM y), u AS (SELECT i, sum(v * h) / (SELECT sum(h * h) FROM z) AS w FROM a JOIN z USING (j) GROUP BY i) SELECT i, round(1000 * w / (SELECT sum(w) FROM u), 5) AS w, round((SELECT sum(w) FROM u), 2) AS d FROM u")
+def nmf_from_h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One iteration from a given H, which is turned to fit."""
+    a = supply(spark, sf_dir)
+    f = nmf(a, 1, maxit=1, tol=0.0, h_init=fixed_h(a.n, 1).T)
+    rows = [(int(i), float(x) * 1000, float(f.d[0])) for i, x in enumerate(f.w[:, 0]) if x > 0]
+    return spark.createDataFrame(rows, "i long, w double, d double").select("i", r("w", 5).alias("w"), r("d", 2).alias("d"))
+
+
+_SYM = ", ".join(f"b{t} AS (SELECT x.i, sum(x.c * s{t}.w) / (SELECT sum(w * w) FROM s{t}) AS w FROM c x JOIN s{t} ON s{t}.i = x.j GROUP BY x.i), s{t + 1} AS (SELECT i, w / (SELECT sum(w) FROM b{t}) AS w FROM b{t})" for t in range(3))
+
+
+@query(f"WITH {ACT_SQL}, {W_SQL}, c AS (SELECT x.i, y.i AS j, sum(x.v * y.v) AS c FROM a x JOIN a y USING (j) GROUP BY 1, 2), t AS (SELECT sum(w0) AS s FROM w), s0 AS (SELECT i, w0 / s AS w FROM w, t), {_SYM} SELECT i, round(1000 * w, 5) AS w FROM s3")
+def nmf_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps on the products of the event types with each other."""
+    a = activity(spark, sf_dir)
+    e = a.entries
+    c = e.join(e.select("j", F.col("i").alias("i2"), F.col("v").alias("v2")), "j").groupBy("i", F.col("i2").alias("j")).agg(F.sum(F.col("v") * F.col("v2")).alias("v"))
+    w = fixed_w(a.m, 1)
+    f = nmf(MatrixFrame(c, a.m, a.m), 1, maxit=3, tol=0.0, symmetric=True, init=w / w.sum())
+    return f.w_frame().select("i", r(F.col("w")[0] * 1000, 5).alias("w"))
+
+
+# ---------------------------------------------------------------- more of the stores
+
+
+@query(f"WITH {A_SQL} SELECT j AS i, i AS j, v FROM a")
+def store_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    store.write(supply(spark, sf_dir), path, chunk_cols=64)
+    store.add_transpose(spark, path)
+    return store.read_transpose(spark, path).entries
+
+
+@query(f"WITH {A_SQL}, p(i, k) AS (VALUES (5, 0), (3, 1), (8, 2)) SELECT CAST(k AS BIGINT) AS i, j, v FROM a JOIN p USING (i)")
+def store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    store.write(supply(spark, sf_dir), path, include_transpose=True)
+    return store.slice_rows(spark, path, [5, 3, 8]).entries
+
+
+@query(f"WITH {A_SQL} SELECT m AS \"rows\", n AS cols, (SELECT count(*) FROM a) AS nnz, 8 * (SELECT count(*) FROM a) + 4 * (n + 1) AS raw_bytes, round(100.0 * (SELECT count(*) FROM a) / (m * n), 6) AS density_pct FROM dims")
+def store_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = store.write(supply(spark, sf_dir), _folder(spark))
+    x = spark.createDataFrame([(i["rows"], i["cols"], i["nnz"], i["raw_bytes"], i["density_pct"])], "rows long, cols long, nnz long, raw_bytes long, density_pct double")
+    return x.withColumn("density_pct", r("density_pct"))
+
+
+@query("SELECT s_suppkey AS i, n_name, r_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def store_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    store.write(with_regions(spark, sf_dir), path)
+    return store.read_obs(spark, path)
+
+
+@query("SELECT p_partkey AS j, p_brand, p_size FROM part")
+def store_var(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    store.write(with_regions(spark, sf_dir), path)
+    return store.read_var(spark, path)
+
+
+@query(f"WITH {VEC_SQL} SELECT id AS j, round(list_sum(x), 5) AS total, CAST(len(x) AS INT) AS n FROM e")
+def store_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    store.write_dense(vectors(spark, sf_dir), path, "id", "x")
+    return store.read_dense(spark, path).select("j", r(F.aggregate("x", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.size("x").alias("n"))
+
+
+@query(f"WITH {A_SQL} SELECT i, j, v FROM a UNION ALL SELECT i, j + n, v FROM a, dims")
+def store_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    a = supply(spark, sf_dir)
+    store.write_list([a, a], path)
+    return store.read(spark, path).entries
+
+
+@query(f"WITH {A_SQL} SELECT i, j, v FROM a UNION ALL SELECT i + m, j, 2 * v FROM a, dims")
+def rbind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = supply(spark, sf_dir)
+    return MatrixFrame.rbind([a, MatrixFrame(a.entries.select("i", "j", (F.col("v") * 2).alias("v")), a.m, a.n)]).entries
+
+
+@query(f"WITH {A_SQL} SELECT i, j, v FROM a")
+def matrix_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as a coordinate file, read by the dispatcher and stored."""
+    a, path = supply(spark, sf_dir), _folder(spark)
+    lines = a.entries.select(F.lit(2).alias("at"), F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{a.m} {a.n} {a.entries.count()}")], "at int, value string")
+    head.unionByName(lines).repartition(1).sortWithinPartitions("at").select("value").write.text(f"{path}/a.mtx")
+    store.convert(spark, f"{path}/a.mtx", f"{path}/store")
+    return store.read(spark, f"{path}/store").entries
+
+
 # ---------------------------------------------------------------- graphs, guides, simulation, streams
 
 
