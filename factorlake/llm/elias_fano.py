@@ -8,6 +8,12 @@ import uuid
 import numpy as np
 
 U1 = np.uint64(1)
+_M1, _M2, _M4 = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F))
+_ONES, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_IN_BYTE = np.zeros(2048, np.int64)  # place of the r-th one of a byte, at 8 * byte + r
+for _b in range(256):
+    for _r, _p in enumerate(p for p in range(8) if _b >> p & 1):
+        _IN_BYTE[8 * _b + _r] = _p
 
 
 def _bits(n: int) -> int:
@@ -23,6 +29,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
         self.n, self.l, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.zeros: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -74,15 +81,15 @@ class EliasFano:
 
     @staticmethod
     def _select_in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-        pos = np.zeros(len(x), np.int64)
-        x, r = x.copy(), r.astype(np.int64)
-        for w in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(x & ((U1 << np.uint64(w)) - U1)).astype(np.int64)
-            go = r >= c
-            pos += go * w
-            r -= go * c
-            x = np.where(go, x >> np.uint64(w), x)
-        return pos
+        """Position of the r-th one of each word: byte sums at once in the word's bytes, then a table for the byte."""
+        s = x - ((x >> U1) & _M1)
+        s = (s & _M2) + ((s >> np.uint64(2)) & _M2)
+        s = ((s + (s >> np.uint64(4))) & _M4) * _ONES  # ones up to the end of each byte
+        r = r.astype(np.uint64)
+        byte = np.bitwise_count((((r * _ONES) | _HIGH) - s) & _HIGH).astype(np.uint64)  # bytes whose sum is r at most
+        byte = np.minimum(byte, np.uint64(7)) << np.uint64(3)
+        before = ((s << np.uint64(8)) >> byte) & np.uint64(255)
+        return (byte.astype(np.int64)) + _IN_BYTE[(((x >> byte) & np.uint64(255)) << np.uint64(3)) | ((r - before) & np.uint64(7))]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at the positions i (each in 0..n-1)."""
@@ -92,12 +99,9 @@ class EliasFano:
 
     def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
         """Elements before the k-th zero, n beyond the last one."""
-        lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(self.high), np.int64)
-        while (m := lo < hi).any():  # first word with more than k zeros up to its end
-            mid = (lo + hi) >> 1
-            go = m & (64 * (mid + 1) - self.ones[np.minimum(mid + 1, len(self.high))] <= k)
-            lo = np.where(go, mid + 1, lo)
-            hi = np.where(m & ~go, mid, hi)
+        if self.zeros is None:  # zeros up to the end of each word
+            self.zeros = 64 * np.arange(1, len(self.ones)) - self.ones[1:]
+        lo = np.searchsorted(self.zeros, k, "right")  # first word with more than k zeros up to its end
         out = np.full(len(k), self.n, np.int64)
         ok = np.flatnonzero(lo < len(self.high))
         w = lo[ok]
@@ -105,26 +109,43 @@ class EliasFano:
         out[ok] = p - k[ok]
         return np.minimum(out, self.n)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Position of the first element that is not under x (n if there is none)."""
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position of the first element that is not under x, or n; end of x's bucket of equal high bits)."""
         x = x.astype(np.uint64)
         h = (x >> np.uint64(self.l)).astype(np.int64)
         lo = np.where(h > 0, self._ones_before_zero(np.maximum(h - 1, 0)), 0)
-        hi = self._ones_before_zero(h)
+        # the bucket is the run of ones behind its zero; a run over a word's length is measured by the next zero
+        at = lo + h
+        w, k = np.minimum(at >> 6, len(self.high) - 1), (at & 63).astype(np.uint64)
+        bits = self.high[w] >> k
+        bits |= np.where((k > 0) & (w + 1 < len(self.high)), self.high[np.minimum(w + 1, len(self.high) - 1)] << ((np.uint64(64) - k) & np.uint64(63)), np.uint64(0))
+        gap = ~bits
+        run = np.bitwise_count((gap & (~gap + U1)) - U1).astype(np.int64)
+        end = np.minimum(lo + run, self.n)
+        far = np.flatnonzero((run >= 64) | (at >> 6 >= len(self.high)))
+        if far.size:
+            end[far] = self._ones_before_zero(h[far])
+        hi = end.copy()
         want = x & ((U1 << np.uint64(self.l)) - U1)
-        while (open_ := np.flatnonzero(lo < hi)).size:
+        open_ = np.flatnonzero(lo < hi)
+        while open_.size:
             mid = (lo[open_] + hi[open_]) >> 1
             go = self._low_at(mid) < want[open_]
             lo[open_[go]] = mid[go] + 1
             hi[open_[~go]] = mid[~go]
-        return lo
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo, end
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Position of the first element that is not under x (n if there is none)."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, whether the element there is x)."""
-        i = self.successor(x)
-        ok = i < self.n
-        hit = np.zeros(len(x), bool)
-        hit[ok] = self.access(i[ok]) == x[ok].astype(np.uint64)
+        """(position of the first element that is not under x, whether it is x)."""
+        i, end = self._search(x)
+        hit = i < end
+        ok = np.flatnonzero(hit)
+        hit[ok] = self._low_at(i[ok]) == x[ok].astype(np.uint64) & ((U1 << np.uint64(self.l)) - U1)
         return i, hit
 
 
