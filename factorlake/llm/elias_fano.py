@@ -63,7 +63,7 @@ class EliasFano:
 
     @classmethod
     def load(cls, path: str) -> EliasFano:
-        a = np.memmap(path, np.uint64, "r")
+        a = np.memmap(path, np.uint64, "r").view(np.ndarray)
         n, l, nl, nh = (int(x) for x in a[:4])
         return cls(n, l, a[4 : 4 + nl], a[4 + nl : 4 + nl + nh], a[4 + nl + nh : 4 + nl + 2 * nh + 1].view(np.int64))
 
@@ -76,7 +76,8 @@ class EliasFano:
         at = i.astype(np.uint64) * np.uint64(self.l)
         w, s = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
         x = self.low[w] >> s
-        x |= np.where(s > 0, self.low[w + 1] << ((np.uint64(64) - s) & np.uint64(63)), np.uint64(0))
+        over = np.flatnonzero(s > np.uint64(64 - self.l))  # the others lie in one word
+        x[over] |= self.low[w[over] + 1] << (np.uint64(64) - s[over])
         return x & ((U1 << np.uint64(self.l)) - U1)
 
     @staticmethod
@@ -102,12 +103,10 @@ class EliasFano:
         if self.zeros is None:  # zeros up to the end of each word
             self.zeros = 64 * np.arange(1, len(self.ones)) - self.ones[1:]
         lo = np.searchsorted(self.zeros, k, "right")  # first word with more than k zeros up to its end
-        out = np.full(len(k), self.n, np.int64)
-        ok = np.flatnonzero(lo < len(self.high))
-        w = lo[ok]
-        p = self._select_in_word(~self.high[w], k[ok] - (64 * w - self.ones[w])) + w * 64
-        out[ok] = p - k[ok]
-        return np.minimum(out, self.n)
+        w = np.minimum(lo, len(self.high) - 1)
+        before = self.zeros[w] - 64 + np.bitwise_count(self.high[w])  # zeros before the word
+        p = self._select_in_word(~self.high[w], k - before) + w * 64
+        return np.where(lo < len(self.high), np.minimum(p - k, self.n), self.n)
 
     def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position of the first element that is not under x, or n; end of x's bucket of equal high bits)."""

@@ -38,6 +38,7 @@ SHARD_BYTES = 24 << 20
 ORDER = 3
 STEP = 6000.0  # codes to a factor of ten
 NONE = 65535  # the code of a context that was not seen
+DECODED = 10.0 ** (-np.arange(NONE + 1) / STEP)
 TOKENS = 1 << 21  # tokens looked up together
 
 
@@ -93,9 +94,17 @@ class Tally:
         return k, c
 
 
-def merged_places(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, key, count) summed by shard and key, in their order."""
-    shard, key, count = (np.concatenate(x) for x in zip(*parts))
+def place_counts(shard: np.ndarray, key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, key, count) summed by shard and key, in their order; without counts each row is one."""
+    room = 64 - int(shard.max(initial=0)).bit_length()
+    if int(key.max(initial=0)).bit_length() <= room < 64:  # both fit in one word
+        both = (shard.astype(np.uint64) << np.uint64(room)) | key
+        if count is None:
+            both, count = np.unique(both, return_counts=True)
+        else:
+            both, count = merged([both], [count])
+        return (both >> np.uint64(room)).astype(np.int32), both & np.uint64((1 << room) - 1), count.astype(np.int64)
+    count = np.ones(len(key), np.int64) if count is None else count
     o = np.lexsort((key, shard))
     shard, key, count = shard[o], key[o], count[o]
     first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.empty(0, np.int64)
@@ -178,7 +187,7 @@ class Reader:
             key, inv = np.unique((place[own].astype(np.uint64) << np.uint64(32)) | word[own].astype(np.uint64), return_inverse=True)
             ctx, of = np.unique(key >> np.uint64(32), return_inverse=True)
             code = self._codes(f"t{n}_{s}.backs")[ctx.astype(np.int64)]
-            back[own] = np.where(code == NONE, 1.0, 10.0 ** (-code.astype(np.float64) / STEP))[of][inv]
+            back[own] = np.where(code == NONE, 1.0, DECODED[code])[of][inv]
             k, found = self._follow(f"t{n}_{s}", ctx.astype(np.int64), of, key)
             p, where = np.zeros(len(key)), np.full(len(key), -1, np.int64)
             p[found], where[found] = self._probability(f"t{n}_{s}", k[found]), k[found]
@@ -190,21 +199,23 @@ class Reader:
         ptr, val = self._ef(f"{name}.pointers"), self._ef(f"{name}.values")
         if not val.n:
             return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        start, stop = ptr.access(ctx).astype(np.int64), ptr.access(ctx + 1).astype(np.int64)
+        start = ptr.access(ctx).astype(np.int64)
         base = np.zeros(len(ctx), np.uint64)
         later = start > 0
         base[later] = val.access(start[later] - 1) + np.uint64(1)
         k, found = val.find(base[of] + (key & np.uint64(0xFFFFFFFF)))
-        return k, found & (k < stop[of])
+        at = np.flatnonzero(found)
+        found[at] = k[at] < ptr.access(ctx[of[at]] + 1).astype(np.int64)
+        return k, found
 
     def _codes(self, name: str) -> np.ndarray:
         if name not in self.files:
             path = f"{self.m.path}/{name}"
-            self.files[name] = np.memmap(path, np.uint16, "r") if os.path.getsize(path) else np.empty(0, np.uint16)
+            self.files[name] = np.memmap(path, np.uint16, "r").view(np.ndarray) if os.path.getsize(path) else np.empty(0, np.uint16)
         return self.files[name]
 
     def _probability(self, name: str, k: np.ndarray) -> np.ndarray:
-        return 10.0 ** (-self._codes(f"{name}.codes")[k].astype(np.float64) / STEP)
+        return DECODED[self._codes(f"{name}.codes")[k]]
 
     def chain(self, rank: np.ndarray, count: np.ndarray, lead: np.ndarray, edge: np.ndarray, up_to: int) -> Iterator[tuple]:
         """Tokens by number and count, each text led by an end mark; `lead` marks those that end no text themselves, `edge`
@@ -385,7 +396,7 @@ def _count_long(m: Model, n: int):
             whole[at], homes[at] = place, shard
             at = np.flatnonzero((h[:-1] != END) & (whole[:-1] >= 0) & (rank[1:] >= 0)) + 1
             key = (whole[at - 1].astype(np.uint64) << np.uint64(32)) | rank[at].astype(np.uint64)
-            parts.append(merged_places([(homes[at - 1], key, np.ones(len(at), np.int64))]))
+            parts.append(place_counts(homes[at - 1], key))
 
         for b in batches:
             for _, _, h, _ in tokens(b.column(0)):
@@ -395,12 +406,12 @@ def _count_long(m: Model, n: int):
                     take()
                     waiting, size, held = [], 0, held + len(parts[-1][1])
                     if held > 2 * len(parts[0][1]) + (1 << 22):
-                        parts = [merged_places(parts)]
+                        parts = [place_counts(*map(np.concatenate, zip(*parts)))]
                         held = len(parts[0][1])
         if waiting:
             take()
         if parts:
-            yield from blocks(*merged_places(parts))
+            yield from blocks(*place_counts(*map(np.concatenate, zip(*parts))))
 
     return run
 
