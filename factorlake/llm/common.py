@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a folder of our own only where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="factorlake-")
