@@ -20,12 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_CHARS = 1 << 21  # characters of text whose units are looked up together
+BATCH_CHARS = 1 << 20  # bytes of text whose units are looked up together
 CACHE_UNITS = 400_000  # units remembered by a worker before it starts anew
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 NEVER = np.int64(1) << 60
@@ -128,6 +129,8 @@ class Encoder:
         # pieces as rows of packed codes, four characters to a word
         self.ids = np.array([self.known[p] for p in self.known], np.int64)
         self.lens = np.array([len(p) for p in self.known], np.int64)
+        if self.lens.max(initial=0) > 63:
+            raise ValueError("a piece of more than 63 characters does not fit the packed edges")
         packed = np.zeros((len(self.ids), self.longest), np.int64)
         for r, p in enumerate(self.known):
             packed[r, : len(p)] = [self.code[c] for c in p]
@@ -353,15 +356,13 @@ def _per_worker(shared) -> tuple[Encoder, Decoder]:
     return v._tools
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    lo, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= BATCH_CHARS:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def _pieces(col: pa.Array) -> Iterator[tuple[int, int]]:
+    size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    end, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + BATCH_CHARS, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def encode(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
@@ -370,13 +371,14 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
     n = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what an earlier stage has left in a worker that is used again
         enc, dec = _per_worker(shared)
         for whole in batches:
-            texts = whole.column(n).to_pylist()
-            for lo, hi in _pieces(texts):
+            for lo, hi in _pieces(whole.column(n)):
                 b = whole.slice(lo, hi - lo)
-                ids, offs = enc.encode(texts[lo:hi])
-                same = [dec.decode(ids[i:j]) == (t or "") for i, j, t in zip(offs[:-1], offs[1:], texts[lo:hi])]
+                texts = b.column(n).to_pylist()
+                ids, offs = enc.encode(texts)
+                same = [dec.decode(ids[i:j]) == (t or "") for i, j, t in zip(offs[:-1], offs[1:], texts)]
                 cols = [*b.columns, pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "ids", "round_trip"])
 
