@@ -483,6 +483,26 @@ def nmf_multi_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, x) for k, x, _ in f.misc["all_inits"]], "start int, x double").select("start", r("x", 3).alias("loss"))
 
 
+def _history(spark: SparkSession, f: NMF) -> DataFrame:
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(f.misc["train_loss"], 1)], "iteration int, loss double")
+
+
+@query()
+def nmf_rank8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty iterations of rank eight: the loss of each."""
+    return _history(spark, nmf(supply(spark, sf_dir), 8, maxit=20, tol=0.0))
+
+
+@query()
+def nmf_rank8_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, nmf(supply(spark, sf_dir), 8, maxit=20, tol=0.0, local_nnz=0))
+
+
+@query()
+def nmf_kl_rank2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, nmf(activity(spark, sf_dir), 2, maxit=15, loss="kl"))
+
+
 @query()
 def nmf_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nmf(supply(spark, sf_dir), [2, 4], maxit=8, mask="zeros", cv_seeds=[1, 2])
