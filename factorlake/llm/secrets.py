@@ -2,8 +2,9 @@
 
 Native: DataFrame and SQL functions only. A pattern's matches come from regexp_extract_all, and their places from the
 lengths of the pieces that split() leaves between them, summed in two levels. Two first-order character models, one of
-random strings and one of ordinary identifiers, are counted from labelled samples; a run of key characters whose
-log-likelihood ratio is above the threshold is a span of kind "markov", unless it meets a span of the fixed patterns.
+random strings and one of ordinary identifiers, are counted from labelled samples; a part of a run of 12 or more key
+characters whose log-likelihood ratio is above the threshold is a span of kind "markov", unless it meets a span of the fixed
+patterns.
 
 Defined results: null text counts as empty; a row without spans has zero counts, an empty spans string and the digest of
 the empty string; repeated rows are scanned each on its own; an empty table gives no rows; extra columns are not read.
@@ -20,14 +21,14 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a maximal run of 18 or more, as shorter ones fail
 HEX = r"[0-9a-f]{16,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 BLOCK = 256
 SAMPLE_DOCS = 2000  # documented bound: documents whose words train the model of ordinary identifiers
 SAMPLE_RANDOM = 4000  # random strings that train the other
-THRESHOLD = 12.0  # nats for a whole run, and PER_CHAR for each character of it
+THRESHOLD = 10.0  # nats that a part of a run has to gain, after PER_CHAR is taken off for each of its characters
 PER_CHAR = 0.7
 CLIP = 4.0  # nats that one character can add or take
 
@@ -98,10 +99,39 @@ def _code(ch: Column) -> Column:
     return F.call_function("locate", ch, F.lit(ALPHABET)).cast("int")
 
 
-def markov_score(token: Column, table: Column) -> Column:
+def random_parts(run: Column, table: Column, threshold: float, per_char: float) -> Column:
+    """Spans like `run` for its random parts: where the ratios, less per_char each, sum to the threshold or more.
+
+    One pass: a part ends where its sum falls to nothing, or by the threshold below its highest value, and reaches as far as that
+    value. Its ends move out to the ends of the alphanumeric pieces that they lie in, so parts of one piece may overlap."""
     k = len(ALPHABET) + 1
-    codes = F.transform(F.split(token, ""), lambda ch: F.when(ch == "", F.lit(0)).otherwise(_code(ch)))
-    return F.get(F.transform(F.array(codes), lambda c: F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(table, F.get(c, i) * k + F.get(c, i + 1)), F.lit(0.0)))), 0)
+    codes = F.transform(F.split(run["text"], ""), lambda ch: F.when(ch == "", F.lit(0)).otherwise(_code(ch)))
+    gain = F.get(F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.coalesce(F.get(table, F.get(c, i) * k + F.get(c, i + 1)), F.lit(0.0)) - per_char)), 0)
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def state(at: Column, total: Column, a: Column, best: Column, b: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), total.alias("total"), a.alias("a"), best.alias("best"), b.alias("b"), out.alias("out"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["best"] >= threshold, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["out"])
+
+    def step(s: Column, v: Column) -> Column:
+        total, at = s["total"] + v, s["at"] + 1
+        ends = (total <= 0) | ((s["best"] >= threshold) & (s["best"] - total >= threshold))
+        on = state(at, total, s["a"], F.greatest(s["best"], total), F.when(total > s["best"], at + 1).otherwise(s["b"]), s["out"])
+        return F.when(ends, state(at, F.lit(0.0), at, F.lit(0.0), at, closed(s))).otherwise(on)
+
+    zero = state(F.lit(0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), none)
+
+    def whole(p: Column) -> Column:
+        t = run["text"]
+        a = p["a"] + F.char_length(F.regexp_extract(F.substring(t, p["a"] + 1, p["b"] - p["a"]), "^[+/_=-]*", 0))
+        b = p["b"] - F.char_length(F.regexp_extract(F.substring(t, p["a"] + 1, p["b"] - p["a"]), "[+/_=-]*$", 0))
+        a = a - F.char_length(F.regexp_extract(F.substring(t, F.lit(1), a), "[A-Za-z0-9]*$", 0))
+        b = b + F.char_length(F.regexp_extract(F.substring(t, b + 1, F.char_length(t)), "^[A-Za-z0-9]*", 0))
+        return F.struct((run["start"] + a).alias("start"), run["kind"].alias("kind"), (run["start"] + b).alias("stop"), F.substring(t, a + 1, b - a).alias("text"))
+
+    return F.array_distinct(F.transform(F.aggregate(gain, zero, step, closed), whole))
 
 
 def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold: float = THRESHOLD, per_char: float = PER_CHAR) -> DataFrame:
@@ -111,12 +141,11 @@ def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", threshold
     t = t.withColumn("__base", F.array_sort(F.concat(matches(F.col("__t"), ASSIGN, 0, 2), matches(F.col("__t"), ACCESS, 1), matches(F.col("__t"), HEX, 2))))
     t = t.withColumn("__runs", matches(F.col("__t"), TOKEN, 3)).drop("__t")
 
-    def added(x: Column) -> Column:
-        score = markov_score(x["text"], table)
-        free = ~F.exists("__base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-        return (score >= F.greatest(F.lit(threshold), F.char_length(x["text"]) * per_char)) & free
+    def free(x: Column) -> Column:
+        return ~F.exists("__base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
 
-    t = t.withColumn("__more", F.when(F.size("__runs") > 0, F.filter("__runs", added)).otherwise(F.array().cast(_NONE)))
+    parts = F.flatten(F.transform("__runs", lambda run: random_parts(run, table, threshold, per_char)))
+    t = t.withColumn("__more", F.when(F.size("__runs") > 0, F.filter(parts, free)).otherwise(F.array().cast(_NONE)))
     return t.withColumn("__all", F.when(F.size("__more") > 0, F.array_sort(F.concat("__base", "__more"))).otherwise(F.col("__base"))).drop("__runs", "__more")
 
 

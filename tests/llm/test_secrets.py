@@ -3,7 +3,7 @@ import random
 import re
 import string
 
-from factorlake.llm.secrets import find_secrets, labelled_samples, redact, train
+from factorlake.llm.secrets import ALPHABET, PER_CHAR, THRESHOLD, find_secrets, labelled_samples, redact, train
 
 from .fixtures import SCHEMA, rows
 
@@ -55,5 +55,54 @@ def test_markov_finds_random_strings_and_leaves_words(spark):
     assert red[900] == "[SECRET] then" and red[100] == clean[0]
 
 
+def brute_parts(run, ratios, threshold=THRESHOLD, per_char=PER_CHAR):
+    """The random parts of a run by a plain loop."""
+    code = {c: i + 1 for i, c in enumerate(ALPHABET)}
+    k, found, total, a, best, b = len(ALPHABET) + 1, [], 0.0, 0, 0.0, 0
+    for i in range(len(run) - 1):
+        total += float(f"{ratios[code[run[i]] * k + code[run[i + 1]]]:.6f}") - per_char
+        if total <= 0 or best >= threshold and best - total >= threshold:
+            if best >= threshold:
+                found.append((a, b))
+            total, a, best, b = 0.0, i + 1, 0.0, i + 1
+        elif total > best:
+            best, b = total, i + 2
+    if best >= threshold:
+        found.append((a, b))
+    out = []
+    for a, b in found:
+        while run[a] in "+/_=-":
+            a += 1
+        while run[b - 1] in "+/_=-":
+            b -= 1
+        while a and run[a - 1].isalnum():
+            a -= 1
+        while b < len(run) and run[b].isalnum():
+            b += 1
+        out.append((a, b))
+    return sorted(set(out))
+
+
+def test_keys_of_twelve_characters_or_inside_ordinary_words_are_found(spark):
+    rnd = random.Random(8)
+    chars = string.ascii_letters + string.digits
+    words = "Authorization Bearer for the production service internationalisation of configuration management values".split()
+    clean = [(i, " ".join(rnd.choices(words, k=60)) + " " + "_".join(rnd.choices(words, k=12)), "en", "s", 1) for i in range(60)]
+    ratios = train(labelled_samples(spark.createDataFrame(clean, SCHEMA)))
+    key = lambda n: "".join(rnd.choices(chars, k=n))
+    runs = {}
+    for i in range(60):
+        k1, k2 = key(12 + i % 20), key(24)
+        runs[1000 + i] = [k1, "Authorization_Bearer_for_the_production_service_" + k1 + "_management_values", f"{k1}=internationalisation_of_configuration_management_values_{k2}", "service/" * 40 + k2][i % 4]
+    data = clean + [(i, "see " + t + ", é", "en", "s", 1) for i, t in runs.items()]
+    got = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(data, SCHEMA), ratios).collect()}
+    assert all(got[i] == "" for i, *_ in clean)
+    for i, t in runs.items():
+        assert [x for x in got[i].split(",") if x.startswith("markov")] == [f"markov:{4 + a}:{4 + b}" for a, b in brute_parts(t, ratios)], t
+    exact = [got[i] for i in runs if i % 4 == 1]
+    assert sum(got[i] == f"markov:{52}:{52 + 12 + (i - 1000) % 20}" for i in runs if i % 4 == 1) >= 0.9 * len(exact)
+    assert sum(got[i].count("markov") == 2 for i in runs if i % 4 == 2) >= 0.9 * len(exact)
+
+
 def test_empty(spark):
     assert find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
