@@ -99,6 +99,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_dedup": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d),
+w AS MATERIALIZED (SELECT r, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM p),
+x AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+s AS (SELECT r, p, sum(CASE WHEN p <= q + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM x)),
+a AS (SELECT r, min(p) AS lo, max(p) + 400 AS hi FROM s GROUP BY r, run),
+g AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM a),
+k AS (SELECT r, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_removed, max(hi) AS last, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS front FROM g JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)""",
+        "op5_jaccard_join": r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda p: array_to_string(w[p:p + 3], ' ')))) END AS s FROM w),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id)) AS c, s, min(doc_id) AS m, CAST(len(s) AS BIGINT) AS n FROM f GROUP BY s),
+t AS MATERIALIZED (SELECT c, n, unnest(s) AS g FROM c),
+r AS MATERIALIZED (SELECT c, n, g, row_number() OVER (PARTITION BY c ORDER BY k, g) AS p FROM (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM t)),
+q AS (SELECT c, n, g FROM r WHERE 100 * (p - 1) <= 15 * n),
+cand AS (SELECT DISTINCT a.c AS a, b.c AS b FROM q a JOIN q b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, x.s AS xs, y.s AS ys, x.n AS xn, y.n AS yn FROM cand JOIN c x ON x.c = a JOIN c y ON y.c = b) WHERE 185 * len(list_intersect(xs, ys)) >= 85 * (xn + yn)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+u AS (SELECT c AS a, c AS b FROM c WHERE c IN (SELECT a FROM e) UNION SELECT u.a, e.b FROM u JOIN e ON u.b = e.a),
+k AS (SELECT a, min(m) AS m FROM u JOIN c ON c.c = u.b GROUP BY a)
+SELECT f.doc_id, c.n AS n_shingles, CASE WHEN c.n = 0 THEN f.doc_id ELSE coalesce(k.m, c.m) END AS component_id
+FROM f JOIN c ON f.s = c.s LEFT JOIN k ON k.a = c.c""",
         "op3_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
