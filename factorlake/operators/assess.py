@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .models import NMF, SVD
@@ -79,19 +79,28 @@ def overall(pred: DataFrame, label: str = "label", guess: str = "pred") -> DataF
     return m.agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1")).join(F.broadcast(acc))
 
 
+def _before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the sum of `value` over the rows that sort before: inside range partitions, and over the partitions' totals."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()).persist()
+    parts = d.groupBy("__p").agg(F.sum(value).alias("__c"))  # a row a partition
+    parts = parts.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
+    own = F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return d.join(F.broadcast(parts), "__p").withColumn(name, F.coalesce(own, F.lit(0)) + F.col("__b")).drop("__p", "__b")
+
+
 def auc(scored: DataFrame, score: str = "score", positive: str = "positive", midrank: bool = True) -> DataFrame:
     """One row (auc). Equal scores count half with midrank; ties go by the order of `id` otherwise. 0.5 with one class only.
 
-    Ranks come from counts of equal scores, summed once more by value, so no task sorts all rows."""
+    Ranks come from sums inside ranges of the score and one sum a range, so no task sorts all rows."""
     if midrank:
-        t = scored.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("c"))
-        w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-        below = t.withColumn("neg", F.col("c") - F.col("p")).withColumn("lower", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+        t = scored.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("c")).withColumn("neg", F.col("c") - F.col("p"))
+        below = _before(t, [F.col(score)], "neg", "lower")
         r = below.agg(F.sum(F.col("p") * (F.col("lower") + F.col("neg") / 2.0)).alias("u"), F.sum("p").alias("np"), F.sum("neg").alias("nn"))
     else:
-        w = Window.orderBy(F.desc(score), "id").rowsBetween(Window.unboundedPreceding, 0)
-        seen = scored.withColumn("above", F.sum(F.col(positive).cast("long")).over(w))
-        r = seen.agg(F.sum(F.when(~F.col(positive).cast("boolean"), F.col("above")).otherwise(0)).cast("double").alias("u"), F.sum(F.col(positive).cast("long")).alias("np"), F.count_if(~F.col(positive).cast("boolean")).alias("nn"))
+        t = scored.select(score, "id", F.col(positive).cast("long").alias("p"))
+        seen = _before(t, [F.desc(score), F.col("id")], "p", "above")
+        r = seen.agg(F.sum((1 - F.col("p")) * F.col("above")).cast("double").alias("u"), F.sum("p").alias("np"), F.sum(1 - F.col("p")).alias("nn"))
     return r.select(F.when((F.col("np") == 0) | (F.col("nn") == 0), 0.5).otherwise(F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"))
 
 

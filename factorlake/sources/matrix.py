@@ -158,12 +158,16 @@ class MatrixFrame:
         return out
 
 
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name): 0-based positions by sorted key, by range partitions, so that no task sorts everything."""
+def numbered(df: DataFrame, key: str, name: str, held: list[DataFrame] | None = None) -> DataFrame:
+    """(key, name): 0-based positions by sorted key, by range partitions, so that no task sorts everything.
+
+    What it keeps in the cache goes to `held`, for callers that give it back."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = df.select(key).repartitionByRange(n, key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
     d = d.persist()
+    if held is not None:
+        held.append(d)
     base = d.groupBy("__p").agg(F.count("*").alias("__c"))  # a row a partition
     base = base.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
     return d.join(F.broadcast(base), "__p").select(key, (F.col("__b") + F.col("__k")).alias(name))

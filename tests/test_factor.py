@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlake.operators import graph as G
+from factorlake.operators.assess import auc
 from factorlake.operators.cluster import consensus_nmf, dclust, split_dense, tree_table
 from factorlake.operators.guide import refine, target
 from factorlake.operators.models import NMF
@@ -12,7 +13,7 @@ from factorlake.operators.simulate import simulate_nmf, simulate_swimmer
 from factorlake.operators.solve import hungarian
 from factorlake.operators.svd import METHODS, pca, svd
 from factorlake.sources.matrix import MatrixFrame
-from factorlake.streaming.projection import OnlineNMF
+from factorlake.streaming.projection import OnlineNMF, project_stream
 
 BOTH = pytest.mark.parametrize("local", [10**9, 0], ids=["driver", "tasks"])
 
@@ -195,3 +196,44 @@ def test_online_updates_once_a_batch(spark, planted):
     m = NMF(first, np.ones(3), project(a, first), 40)
     assert m.evaluate(a) < a.to_numpy().var()
     assert factor_frame(spark, first).count() == 30
+
+
+def test_online_updates_go_on_after_a_restart(spark, planted, tmp_path):
+    a, w, _ = planted
+    for part in range(2):
+        a.entries.where(f"j % 2 = {part}").withColumn("j", F.col("j") + 10**12).coalesce(1).write.parquet(f"{tmp_path}/in{part}")
+    stream = lambda: spark.readStream.schema("i long, j long, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    whole, seen = OnlineNMF(w + 0.01), []
+    whole.attach(stream(), 30, f"{tmp_path}/c1", lambda _, batch: seen.append(batch)).awaitTermination()
+    assert seen == [0, 1] and (whole.last, whole.saved) == (1, 2)
+    again = OnlineNMF(w + 5.0, path=f"{tmp_path}/c1_sums")
+    assert again.restore(spark) and (again.last, again.saved) == (1, 2)
+    assert np.array_equal(again.w, whole.w) and np.array_equal(again.b, whole.b) and np.array_equal(again.gram, whole.gram)
+    spark.read.parquet(f"{tmp_path}/c1_sums/0").limit(5).toPandas().to_parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{tmp_path}/part.parquet").write.mode("overwrite").parquet(f"{tmp_path}/c1_sums/0")  # cut off while it was written
+    older = OnlineNMF(w + 5.0, path=f"{tmp_path}/c1_sums")
+    assert older.restore(spark) and older.last == 0
+    assert not OnlineNMF(w, path=f"{tmp_path}/none").restore(spark)
+    with pytest.raises(ValueError):
+        OnlineNMF(w[:5], path=f"{tmp_path}/c1_sums").restore(spark)
+
+
+def test_projection_of_a_stream_keeps_large_ids(spark, planted, tmp_path):
+    a, w, _ = planted
+    a.entries.withColumn("j", F.col("j") * 10**10 + 7).write.parquet(f"{tmp_path}/in")
+    project_stream(spark.readStream.schema("i long, j long, v double").parquet(f"{tmp_path}/in"), w, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    got = {r.j: r.h for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {r.j * 10**10 + 7: r.h for r in project(a, w).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[j], want[j]) for j in want)
+
+
+def test_auc_with_distinct_scores_and_ties(spark):
+    rng = np.random.default_rng(4)
+    for score in (rng.normal(size=500), rng.integers(0, 9, 500).astype(float)):
+        pos = rng.random(500) < 0.3
+        df = spark.createDataFrame([(i, float(s), bool(p)) for i, (s, p) in enumerate(zip(score, pos))], "id long, score double, positive boolean")
+        d = score[pos][:, None] - score[~pos][None, :]
+        assert abs(auc(df).first()[0] - ((d > 0) + (d == 0) / 2).mean()) < 1e-12
+        order = np.lexsort((np.arange(500), -score))
+        above = np.cumsum(pos[order])[~pos[order]].sum()
+        assert abs(auc(df, midrank=False).first()[0] - above / (pos.sum() * (~pos).sum())) < 1e-12
