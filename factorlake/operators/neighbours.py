@@ -1,5 +1,6 @@
-"""Exact nearest neighbours: the reference side goes round in blocks of bounded size, each broadcast once, and the best of each
-block are merged. No product of the two sides is ever rows of a DataFrame."""
+"""Exact nearest neighbours. A reference side of bounded size is broadcast. Beyond that both sides are dealt into blocks of bounded
+size, each pair of blocks meets in a task of its own, and the best of each block are merged. No product of the two sides is ever
+rows of a DataFrame."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-REF_VALUES = 8_000_000  # numbers of the reference side held at once
+REF_VALUES = 8_000_000  # numbers of one side held at once
 BLOCK_VALUES = 1_000_000  # x-rows * y-rows * width of the differences held at once
 
 
@@ -25,16 +26,17 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean",
     width = len(first["x"])
     n = refs.count()
     blocks = max(1, -(-n * width // ref_values))
-    out = None
-    for part in range(blocks):
-        r = refs if blocks == 1 else refs.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == part)
-        p = r.select("id", "x").toPandas().sort_values("id")
-        if not len(p):
-            continue
-        y = np.stack([np.asarray(v, float) for v in p["x"]])
-        shared = spark.sparkContext.broadcast((p["id"].to_numpy(np.int64), y))
-        best = queries.select("id", "x").mapInPandas(_near(shared, k, metric, exclude_self), "id long, other long, dist double")
-        out = best if out is None else out.unionByName(best)
+    schema = "id long, other long, dist double"
+    if blocks == 1:
+        p = refs.select("id", "x").toPandas().sort_values("id")
+        shared = spark.sparkContext.broadcast((p["id"].to_numpy(np.int64), _matrix(p["x"])))
+        out = queries.select("id", "x").mapInPandas(_near(shared, k, metric, exclude_self), schema)
+    else:
+        own = max(1, -(-queries.count() * width // ref_values))
+        q = queries.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(own)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
+        r = refs.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(own - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("rb"))
+        keys = [F.col("qb").cast("int"), F.col("rb").cast("int")]
+        out = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_meet(k, metric, exclude_self), schema)
     w = Window.partitionBy("id").orderBy("dist", "other")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -57,19 +59,37 @@ def distances(x: np.ndarray, y: np.ndarray, metric: str, block_values: int = BLO
     return out
 
 
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in x])
+
+
+def _best(pdf: pd.DataFrame, ids: np.ndarray, y: np.ndarray, k: int, metric: str, exclude_self: bool) -> Iterator[pd.DataFrame]:
+    """The k nearest of y, whose ids rise, to each row."""
+    for a in range(0, len(pdf), 512):
+        part = pdf.iloc[a : a + 512]
+        own = part["id"].to_numpy(np.int64)
+        d = distances(_matrix(part["x"]), y, metric)
+        if exclude_self:
+            d[own[:, None] == ids[None, :]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids))]
+        best = np.take_along_axis(d, order, axis=1)
+        ok = np.isfinite(best)
+        yield pd.DataFrame({"id": np.repeat(own, order.shape[1])[ok.ravel()], "other": ids[order][ok], "dist": best[ok]})
+
+
 def _near(shared, k: int, metric: str, exclude_self: bool):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, y = shared.value
         for pdf in it:
-            for a in range(0, len(pdf), 512):
-                part = pdf.iloc[a : a + 512]
-                own = part["id"].to_numpy(np.int64)
-                d = distances(np.stack([np.asarray(v, float) for v in part["x"]]), y, metric)
-                if exclude_self:
-                    d[own[:, None] == ids[None, :]] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids))]
-                best = np.take_along_axis(d, order, axis=1)
-                ok = np.isfinite(best)
-                yield pd.DataFrame({"id": np.repeat(own, order.shape[1])[ok.ravel()], "other": ids[order][ok], "dist": best[ok]})
+            yield from _best(pdf, *shared.value, k, metric, exclude_self)
+
+    return run
+
+
+def _meet(k: int, metric: str, exclude_self: bool):
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"id": [], "other": [], "dist": []})
+        r = r.sort_values("id")
+        return pd.concat(_best(q, r["id"].to_numpy(np.int64), _matrix(r["x"]), k, metric, exclude_self))
 
     return run

@@ -27,3 +27,16 @@ def test_copies_are_found_through_the_blocked_path(spark):
     refs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, x array<double>")
     got = knn(refs.where("id < 100"), refs, 1).collect()
     assert {(r.id, r.other, r.dist) for r in got} == {(i, 31_300 + i, 0.0) for i in range(100)}
+
+
+def test_shuffled_blocks_give_the_broadcast_side_s_answer(spark):
+    rng = np.random.default_rng(9)
+    y = np.round(rng.normal(size=(300, 4)), 1)  # many ties
+    refs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, x array<double>")
+    queries = refs.where("id % 3 = 0")
+    for metric in ("euclidean", "cosine"):
+        one, many = (sorted(map(tuple, knn(queries, refs, 5, metric, ref_values=values).collect())) for values in (10**6, 90))
+        assert len(one) == 500
+        assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in many]
+        assert np.allclose([r[2] for r in one], [r[2] for r in many], atol=1e-12)
+    assert knn(queries, refs.where("id < 0"), 5).count() == 0
