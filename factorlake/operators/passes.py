@@ -110,6 +110,12 @@ def sum_by(col: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def sum_to(row: np.ndarray, x: np.ndarray, m: int) -> np.ndarray:
+    """Rows of x summed for each of m rows, in any order."""
+    flat = x.reshape(len(row), -1)
+    return np.stack([np.bincount(row, flat[:, c], m) for c in range(flat.shape[1])], axis=1).reshape(m, *x.shape[1:])
+
+
 def _left_out(blk: Block, m: int, p: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Entries not trained on, as (row, column, value, is test), and the mask over stored entries."""
     stored_test = held_out(p.cv_seed, blk.idx, blk.keys[blk.col], p.holdout) if p.holdout else np.zeros(len(blk.idx), bool)
@@ -370,8 +376,12 @@ class Samples:
     def against(self, h: np.ndarray) -> Sums:
         """Sums for given coefficients (n x k), which the driver holds."""
         self._check(h)
-        b = self.sweep(lambda blk, h: sum_by(np.sort(blk.idx), (np.nan_to_num(blk.val)[:, None] * h[blk.keys[blk.col]])[np.argsort(blk.idx, kind="stable")], self.m), self.m, h.shape[1], h)
-        return Sums(np.abs(h).sum(axis=0), h.T @ h, b)
+        m = self.m
+
+        def one(blk: Block, h: np.ndarray) -> np.ndarray:  # nothing of self, which tasks cannot get
+            return sum_to(blk.idx, np.nan_to_num(blk.val)[:, None] * h[blk.keys[blk.col]], m)
+
+        return Sums(np.abs(h).sum(axis=0), h.T @ h, self.sweep(one, m, h.shape[1], h))
 
     def coefficients(self, w: np.ndarray, p: Plan, scale: np.ndarray | None = None, shape: tuple | None = None) -> DataFrame:
         """(j, h) of every sample, as a DataFrame."""

@@ -237,3 +237,9 @@ def test_auc_with_distinct_scores_and_ties(spark):
         order = np.lexsort((np.arange(500), -score))
         above = np.cumsum(pos[order])[~pos[order]].sum()
         assert abs(auc(df, midrank=False).first()[0] - above / (pos.sum() * (~pos).sum())) < 1e-12
+
+
+def test_a_given_h_is_fitted_in_tasks(spark, planted):
+    a, h = planted[0], np.random.default_rng(2).random((40, 2))
+    here, there = (nmf(a, 2, maxit=2, tol=0.0, h_init=h, local_nnz=n) for n in (10**6, 0))
+    assert np.allclose(here.w, there.w) and np.allclose(here.d, there.d)
