@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +24,12 @@ from .solve import EPS, nnls, nnls_each
 LOCAL_NNZ = 3_000_000  # stored entries that the driver may hold
 DRIVER_VALUES = 60_000_000  # numbers in a factor that the driver may hold
 BLOCK_COLUMNS = 2048
+BLOCK_ENTRIES = 1_000_000  # a block is cut after that many
+TASK_ENTRIES = 1_500_000  # entries of a partition of blocks
+FULL_VALUES = 2_000_000  # entries, zeros included, that a hold-out fills at once
+SENT_VALUES = 8_000_000  # numbers of all partitions' sums that go to the driver as they are
+PART_VALUES = 32_768  # numbers in a part of a sum
+PACKED = "keys binary, ptr binary, idx binary, val binary, mask_ptr binary, mask_idx binary"
 
 
 SPREAD = {"nb": "size", "gp": "theta"}  # the loss's parameter that a fit estimates
@@ -55,7 +60,7 @@ class Plan:
     holdout: float = 0.0
     cv_seed: int = 0
     mask_zeros: bool = False  # only stored entries are data
-    mask: np.ndarray | None = None  # sorted keys j * m + i of entries left out
+    mask: bool = False  # the blocks' masks hold entries left out
     projective: bool = False
     rounds: int = 5  # reweighting rounds for losses other than squared error
     still: float = 1e-4  # rounds of a sample end when none of its coefficients moves more than this, relatively
@@ -95,11 +100,19 @@ class Block:
     ptr: np.ndarray
     idx: np.ndarray
     val: np.ndarray
+    mask_ptr: np.ndarray | None = None  # entries left out, in the same form
+    mask_idx: np.ndarray | None = None
     col: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.col = np.repeat(np.arange(len(self.keys)), np.diff(self.ptr))
 
+    def masked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the entries left out, by column and row."""
+        if self.mask_idx is None:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return self.mask_idx, np.repeat(np.arange(len(self.keys)), np.diff(self.mask_ptr))
+
 
 def sum_by(col: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     """Rows of x (sorted by col) summed for each of n columns."""
@@ -112,35 +125,43 @@ def sum_by(col: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
 
 def sum_to(row: np.ndarray, x: np.ndarray, m: int) -> np.ndarray:
     """Rows of x summed for each of m rows, in any order."""
-    flat = x.reshape(len(row), -1)
+    flat = x.reshape(len(row), int(np.prod(x.shape[1:])))
     return np.stack([np.bincount(row, flat[:, c], m) for c in range(flat.shape[1])], axis=1).reshape(m, *x.shape[1:])
 
 
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each of x is one of y, which rise."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 def _left_out(blk: Block, m: int, p: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Entries not trained on, as (row, column, value, is test), and the mask over stored entries."""
     stored_test = held_out(p.cv_seed, blk.idx, blk.keys[blk.col], p.holdout) if p.holdout else np.zeros(len(blk.idx), bool)
-    stored_mask = np.zeros(len(blk.idx), bool)
-    if p.mask is not None and len(p.mask):
-        key = blk.keys[blk.col] * m + blk.idx
-        at = np.minimum(np.searchsorted(p.mask, key), len(p.mask) - 1)
-        stored_mask = p.mask[at] == key
-    stored_mask |= np.isnan(blk.val)
+    mask_rows, mask_cols = blk.masked() if p.mask else (np.empty(0, np.int64), np.empty(0, np.int64))
+    stored, masked = blk.col * m + blk.idx, mask_cols * m + mask_rows
+    stored_mask = _among(stored, masked) | np.isnan(blk.val)
     stored_test &= ~stored_mask
     gone = stored_test | stored_mask
     rows, cols, vals, test = blk.idx[gone], blk.col[gone], np.nan_to_num(blk.val[gone]), stored_test[gone]
-    if not p.mask_zeros and (p.holdout or (p.mask is not None and len(p.mask))):
-        full = np.zeros((len(blk.keys), m), bool)
-        masked = np.zeros_like(full)
+    if not p.mask_zeros:  # zeros only
+        more = []
         if p.holdout:
-            full = held_out(p.cv_seed, np.arange(m)[None, :] + np.zeros((len(blk.keys), 1), np.int64), blk.keys[:, None] + np.zeros((1, m), np.int64), p.holdout)
-        if p.mask is not None and len(p.mask):
-            lo, hi = np.searchsorted(p.mask, blk.keys * m), np.searchsorted(p.mask, (blk.keys + 1) * m)
-            for c, (a, b) in enumerate(zip(lo, hi)):
-                masked[c, p.mask[a:b] - blk.keys[c] * m] = True
-        full &= ~masked
-        for x, is_test in ((full, True), (masked, False)):
-            x[blk.col, blk.idx] = False  # zeros only
-            c, r = np.nonzero(x)
+            step = max(1, FULL_VALUES // max(m, 1))
+            for c in range(0, len(blk.keys), step):
+                keys = blk.keys[c : c + step]
+                full = held_out(p.cv_seed, np.arange(m)[None, :] + np.zeros((len(keys), 1), np.int64), keys[:, None] + np.zeros((1, m), np.int64), p.holdout)
+                a, b = blk.ptr[c], blk.ptr[c + len(keys)]
+                full[blk.col[a:b] - c, blk.idx[a:b]] = False
+                here = (mask_cols >= c) & (mask_cols < c + len(keys))
+                full[mask_cols[here] - c, mask_rows[here]] = False
+                more.append((*np.nonzero(full), True))
+                more[-1] = (more[-1][0] + c, *more[-1][1:])
+        if len(masked):
+            only = ~_among(masked, stored)
+            more.append((mask_cols[only], mask_rows[only], False))
+        for c, r, is_test in more:
             rows, cols = np.concatenate([rows, r]), np.concatenate([cols, c])
             vals, test = np.concatenate([vals, np.zeros(len(r))]), np.concatenate([test, np.full(len(r), is_test)])
     return gone, rows, cols, vals, test
@@ -271,12 +292,10 @@ def block_sums(blk: Block, h: np.ndarray, extra: tuple, w: np.ndarray, p: Plan)
         mt = np.einsum("ek,ek->e", w[rows[test]], h[cols[test]])
         loss = p.loss_of(None if p.per_row is None else p.per_row[rows[test]]) if p.loss.reweighted else Loss()
         s.test, s.test_count = float(values(vals[test], mt, loss).sum()), int(test.sum())
-    o = np.argsort(idx, kind="stable")
-    s.b = sum_by(idx[o], (wt * val)[o, None] * h[col[o]], m)
+    s.b = sum_to(idx, (wt * val)[:, None] * h[col], m)
     if own:
         def row_part(r: np.ndarray, c: np.ndarray, f: np.ndarray) -> np.ndarray:
-            q = np.argsort(r, kind="stable")
-            return sum_by(r[q], f[q, None] * (h[c[q]][:, :, None] * h[c[q]][:, None, :]).reshape(len(q), -1), m)
+            return np.stack([np.bincount(r, f * h[c, x] * h[c, y], m) for x in range(k) for y in range(k)], axis=1)
 
         if p.mask_zeros:
             s.row_gram = row_part(idx, col, wt)
@@ -288,7 +307,8 @@ def block_sums(blk: Block, h: np.ndarray, extra: tuple, w: np.ndarray, p: Plan)
 
 
 class Samples:
-    """The samples of a matrix, on the driver or in cached blocks."""
+    """The samples of a matrix, on the driver or in cached blocks, which are rows of bytes: keys, and stored and masked entries in
+    compressed columns. Samples without entries are there too."""
 
     def __init__(self, a: MatrixFrame, local_nnz: int = LOCAL_NNZ, mask: DataFrame | None = None) -> None:
         self.m, self.n, self.frame = a.m, a.n, a
@@ -296,23 +316,16 @@ class Samples:
         one = a.entries.agg(F.count("*"), F.sum(F.when(good, F.col("v") * F.col("v"))), F.count(F.when(good, 1))).first()
         self.local = one[0] <= local_nnz
         self.square, self.missing = float(one[1] or 0.0), one[2] < one[0]
-        self.mask = None
-        if mask is not None:
-            k = mask.select((F.col("j") * a.m + F.col("i")).alias("k")).distinct()
-            if k.count() > DRIVER_VALUES:
-                raise ValueError("the mask is too large for the driver")
-            self.mask = np.sort(k.toPandas()["k"].to_numpy(np.int64))
+        self.mask = mask is not None
+        if self.local and mask is not None:
+            self.local = mask.limit(local_nnz + 1).count() <= local_nnz
+        rows = _sample_rows(a, mask)
         if self.local:
-            e = a.entries.where("v <> 0 or v is null").toPandas()
-            j, i, v = e["j"].to_numpy(np.int64), e["i"].to_numpy(np.int64), e["v"].to_numpy(float)
-            o = np.lexsort((i, j))
-            j, i, v = j[o], i[o], v[o]
-            ptr = np.searchsorted(j, np.arange(a.n + 1))
-            self.blocks = [Block(np.arange(c, min(c + BLOCK_COLUMNS, a.n)), ptr[c : min(c + BLOCK_COLUMNS, a.n) + 1] - ptr[c], i[ptr[c] : ptr[min(c + BLOCK_COLUMNS, a.n)]], v[ptr[c] : ptr[min(c + BLOCK_COLUMNS, a.n)]]) for c in range(0, a.n, BLOCK_COLUMNS)]
+            t = rows.toArrow()
+            self.blocks = list(_blocks(_packed(t.sort_by([(c, "ascending") for c in ("j", "i", "kind")])))) if len(t) else []
         else:
-            some = a.blocks()
-            every = a.entries.sparkSession.range(a.n).withColumnRenamed("id", "key").join(some, "key", "left")
-            self.frame_blocks = every.select("key", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("val", F.array().cast("array<double>")).alias("val")).persist()
+            self.partitions = spread_over(a.entries.sparkSession, one[0] + a.n)
+            self.frame_blocks = rows.repartition(self.partitions, "j").sortWithinPartitions("j", "i", "kind").mapInArrow(_pack, PACKED).persist()
 
     def _check(self, w: np.ndarray) -> None:
         if w.size > DRIVER_VALUES:
@@ -322,7 +335,7 @@ class Samples:
         """shape: (norms, cosines) of the side's factors for the angular penalty."""
         self._check(w)
         m, k = w.shape
-        own = p.mask_zeros or p.loss.reweighted or p.holdout > 0 or p.mask is not None or self.missing
+        own = p.mask_zeros or p.loss.reweighted or p.holdout > 0 or p.mask or self.missing
 
         def one(blk: Block, w: np.ndarray) -> tuple[Sums, tuple]:
             h, extra = solve_block(blk, w, w.T @ w + EPS * np.eye(k), p)
@@ -359,8 +372,7 @@ class Samples:
 
         def by_row(h: np.ndarray, extra: tuple) -> np.ndarray:
             idx, col, val = extra[4:7]
-            o = np.argsort(idx, kind="stable")
-            return sum_by(idx[o], fn(h, idx[o], col[o], val[o]), m)
+            return sum_to(idx, fn(h, idx, col, val), m)
 
         if self.local:
             return sum((by_row(*x) for x in self.last), np.zeros((m, width)))
@@ -398,12 +410,16 @@ class Samples:
         if self.local:
             h = np.concatenate([one(b) for b in self.blocks]) if self.blocks else np.empty((0, w.shape[1]))
             return factor_frame(self.frame.entries.sparkSession, h)
+        return self.each(one, "j", "h")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(self, fn, key: str, col: str) -> DataFrame:
+        """(key, col): a vector of each sample, fn(block) -> (samples x width), made in tasks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for blk in _blocks(batches):
-                yield pd.DataFrame({"j": blk.keys, "h": list(one(blk))})
+                yield pa.RecordBatch.from_arrays([pa.array(blk.keys), listed(fn(blk))], [key, col])
 
-        return self.frame_blocks.mapInPandas(run, "j long, h array<double>")
+        return self.frame_blocks.mapInArrow(run, f"{key} long, {col} array<double>")
 
     def sweep(self, fn, m: int, width: int, shared: np.ndarray | None = None) -> np.ndarray:
         """Sum over blocks of fn(block, shared) -> (m x width), on the driver or in tasks; `shared` is broadcast once."""
@@ -412,26 +428,34 @@ class Samples:
             for b in self.blocks:
                 out += fn(b) if shared is None else fn(b, shared)
             return out
-        names = [f"c{r}" for r in range(width)]
-        sent = None if shared is None else self.frame.entries.sparkSession.sparkContext.broadcast(shared)
+        spark = self.frame.entries.sparkSession
+        sent = None if shared is None else spark.sparkContext.broadcast(shared)
+        rows = max(1, PART_VALUES // max(width, 1))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for blk in _blocks(batches):
                 x = fn(blk) if sent is None else fn(blk, sent.value)
                 total = x if total is None else np.add(total, x, out=total)
             if total is None:
                 return
-            rows = np.flatnonzero(total.any(axis=1))
-            pdf = pd.DataFrame(total[rows], columns=names)
-            pdf.insert(0, "i", rows)
-            yield pdf
+            for p in range(0, -(-m // rows)):
+                x = total[p * rows : (p + 1) * rows]
+                if x.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.ascontiguousarray(x, float).tobytes()], pa.binary())], ["p", "x"])
+
+        def merged(key: tuple, part: pa.Table) -> pa.Table:
+            return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([sum(np.frombuffer(x.as_buffer()) for x in part["x"]).tobytes()], pa.binary())})
 
-        r = self.frame_blocks.mapInPandas(run, "i long, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+        sums = self.frame_blocks.mapInArrow(run, "p int, x binary")
+        if self.partitions * m * width > SENT_VALUES:
+            sums = sums.groupBy("p").applyInArrow(merged, "p int, x binary")
+        out = np.zeros((m, width))
+        for batch in sums.toArrow().to_batches():
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                out[p * rows : (p + 1) * rows] += np.frombuffer(x.as_buffer()).reshape(-1, width)
         if sent is not None:
             sent.unpersist()
-        out = np.zeros((m, width))
-        out[r["i"].to_numpy()] = r[names].to_numpy()
         return out
 
     def release(self) -> None:
@@ -441,16 +465,66 @@ class Samples:
 
 def factor_frame(spark: SparkSession, x: np.ndarray, key: str = "j", col: str = "h") -> DataFrame:
     """Rows of an array as (key, col)."""
+    return spark.createDataFrame(pa.table({key: pa.array(np.arange(len(x))), col: listed(x)}), f"{key} long, {col} array<double>")
+
+
+def listed(x: np.ndarray) -> pa.ListArray:
     x = np.ascontiguousarray(x, float)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-    return spark.createDataFrame(pa.table({key: pa.array(np.arange(len(x))), col: lists}), f"{key} long, {col} array<double>")
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
-    for pdf in batches:
-        for a in range(0, len(pdf), BLOCK_COLUMNS):
-            part = pdf.iloc[a : a + BLOCK_COLUMNS]
-            ptr = np.concatenate([[0], np.cumsum([len(x) for x in part["idx"]])])
-            idx = np.concatenate([np.asarray(x, np.int64) for x in part["idx"]]) if ptr[-1] else np.empty(0, np.int64)
-            val = np.concatenate([np.asarray(x, float) for x in part["val"]]) if ptr[-1] else np.empty(0)
-            yield Block(part["key"].to_numpy(np.int64), ptr, idx, val)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _sample_rows(a: MatrixFrame, mask: DataFrame | None) -> DataFrame:
+    """(j, i, v, kind): stored entries (0), masked ones (1) and a row for each sample (2)."""
+    inside, none = (F.col("j") >= 0) & (F.col("j") < a.n), F.lit(None).cast("double")
+    kind = lambda x: F.lit(x).cast("byte").alias("kind")
+    e = a.entries.where("v <> 0 or v is null").where(inside).select("j", F.col("i").cast("int").alias("i"), "v", kind(0))
+    e = e.unionByName(a.entries.sparkSession.range(a.n).select(F.col("id").alias("j"), F.lit(None).cast("int").alias("i"), none.alias("v"), kind(2)))
+    if mask is not None:
+        e = e.unionByName(mask.where(inside & (F.col("i") >= 0) & (F.col("i") < a.m)).select("j", F.col("i").cast("int").alias("i"), none.alias("v"), kind(1)))
+    return e
+
+
+def spread_over(spark: SparkSession, entries: int) -> int:
+    return max(1, -(-entries // TASK_ENTRIES), min(spark.sparkContext.defaultParallelism, -(-entries // 50_000)))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > 200_000:
+            t = pa.Table.from_batches(held)
+            j = t["j"].to_numpy()
+            cut = int(np.searchsorted(j, j[-1]))  # the last sample may go on
+            if cut:
+                yield from _packed(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                rows -= cut
+    if rows:
+        yield from _packed(pa.Table.from_batches(held))
+
+
+def _packed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    j, kind = t["j"].to_numpy(), t["kind"].to_numpy()
+    i, v = t["i"].fill_null(-1).to_numpy(), t["v"].to_numpy()  # null: NaN
+    keys, first = np.unique(j, return_index=True)
+    at = np.append(first, len(j))
+    a = 0
+    while a < len(keys):
+        b = max(a + 1, min(a + BLOCK_COLUMNS, int(np.searchsorted(at, at[a] + BLOCK_ENTRIES, "right")) - 1))
+        s = slice(at[a], at[b])
+        jj, ii, vv, kk = j[s], i[s], v[s], kind[s]
+        one, two = kk == 0, kk == 1
+        two[1:] &= ~((jj[1:] == jj[:-1]) & (ii[1:] == ii[:-1]) & two[:-1])
+        own = keys[a:b]
+        ptr = lambda x: np.append(np.searchsorted(jj[x], own), x.sum()).astype(np.int64).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (own.astype(np.int64).tobytes(), ptr(one), ii[one].astype(np.int32).tobytes(), vv[one].astype(float).tobytes(), ptr(two), ii[two].astype(np.int32).tobytes())], [c.split()[0] for c in PACKED.split(", ")])
+        a = b
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            keys, ptr, idx, val, mask_ptr, mask_idx = (np.frombuffer(batch.column(c)[r].as_buffer(), t) if batch.column(c)[r].as_buffer().size else np.empty(0, t) for c, t in enumerate((np.int64, np.int64, np.int32, float, np.int64, np.int32)))
+            yield Block(keys, ptr, idx.astype(np.int64), val, mask_ptr, mask_idx.astype(np.int64))

@@ -5,18 +5,16 @@ No pass returns anything of the samples' length; the right vectors stay a DataFr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import held_out, normal
 from ..sources.matrix import MatrixFrame
 from .models import SVD, frame
-from .passes import LOCAL_NNZ, Block, Samples, _blocks, sum_by
+from .passes import LOCAL_NNZ, Block, Samples, sum_to
 
 METHODS = ("auto", "lanczos", "irlba", "randomized", "deflation", "krylov")
 
@@ -53,16 +51,16 @@ class Operator:
         x, off = self.left(q)
         m, l = q.shape
 
-        def one(b: Block) -> np.ndarray:
-            t = sum_by(b.col, b.val[:, None] * x[b.idx], len(b.keys)) - off
-            o = np.argsort(b.idx, kind="stable")
+        def one(b: Block, x: np.ndarray) -> np.ndarray:
+            t = _products(b, x) - off
             out = np.zeros((m + l + 1, l))
-            out[:m] = sum_by(b.idx[o], b.val[o, None] * t[b.col[o]], m)
+            for c in range(l):
+                out[:m, c] = np.bincount(b.idx, b.val * t[b.col, c], m)
             out[m : m + l] = t.T @ t
             out[m + l] = t.sum(axis=0)
             return out
 
-        s = self.data.sweep(one, m + l + 1, l)
+        s = self.data.sweep(one, m + l + 1, l, x)
         y = s[:m]
         if self.mean is not None:
             y = y - np.outer(self.mean, s[m + l])
@@ -74,8 +72,7 @@ class Operator:
 
         def one(b: Block) -> np.ndarray:
             t = normal(seed, b.keys[:, None] + np.zeros((1, l), np.int64), np.arange(l)[None, :] + np.zeros((len(b.keys), 1), np.int64))
-            o = np.argsort(b.idx, kind="stable")
-            return np.concatenate([sum_by(b.idx[o], b.val[o, None] * t[b.col[o]], m), t.sum(axis=0)[None, :]])
+            return np.concatenate([sum_to(b.idx, b.val[:, None] * t[b.col], m), t.sum(axis=0)[None, :]])
 
         s = self.data.sweep(one, m + 1, l)
         y = s[:m] - (np.outer(self.mean, s[m]) if self.mean is not None else 0)
@@ -87,22 +84,22 @@ class Operator:
         by = np.where(d > 0, d, 1.0)
 
         def one(b: Block) -> np.ndarray:
-            return (sum_by(b.col, b.val[:, None] * x[b.idx], len(b.keys)) - off) / by
+            return (_products(b, x) - off) / by
 
         if self.data.local:
             v = np.concatenate([one(b) for b in self.data.blocks]) if self.data.blocks else np.empty((0, len(d)))
             return frame(self.data.frame.entries.sparkSession, v, "j", "v")
 
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in _blocks(it):
-                yield pd.DataFrame({"j": b.keys, "v": list(one(b))})
+        return self.data.each(one, "j", "v")
+
 
-        return self.data.frame_blocks.mapInPandas(run, "j long, v array<double>")
+def _products(b: Block, x: np.ndarray) -> np.ndarray:
+    """A'X of the block's samples."""
+    return np.stack([np.bincount(b.col, b.val * x[b.idx, c], len(b.keys)) for c in range(x.shape[1])], axis=1)
 
 
 def _moments(b: Block, m: int) -> np.ndarray:
-    o = np.argsort(b.idx, kind="stable")
-    return sum_by(b.idx[o], np.stack([b.val[o], b.val[o] ** 2], axis=1), m)
+    return sum_to(b.idx, np.stack([b.val, b.val**2], axis=1), m)
 
 
 def pick_method(m: int, n: int, k: int, robust: bool = False, constrained: bool = False, cv: bool = False) -> str:

@@ -3,11 +3,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlake.operators import graph as G
+from factorlake.operators import passes
 from factorlake.operators.assess import auc
 from factorlake.operators.cluster import consensus_nmf, dclust, split_dense, tree_table
 from factorlake.operators.guide import refine, target
 from factorlake.operators.models import NMF
-from factorlake.operators.nmf import Config, auto_rank, nmf, nnls_fit, project
+from factorlake.operators.nmf import Config, Fit, auto_rank, nmf, nnls_fit, project
 from factorlake.operators.passes import factor_frame
 from factorlake.operators.simulate import simulate_nmf, simulate_swimmer
 from factorlake.operators.solve import hungarian
@@ -243,3 +244,20 @@ def test_a_given_h_is_fitted_in_tasks(spark, planted):
     a, h = planted[0], np.random.default_rng(2).random((40, 2))
     here, there = (nmf(a, 2, maxit=2, tol=0.0, h_init=h, local_nnz=n) for n in (10**6, 0))
     assert np.allclose(here.w, there.w) and np.allclose(here.d, there.d)
+
+
+def test_masks_stay_with_the_samples_in_tasks(spark):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((7, 23)) < 0.6, rng.random((7, 23)), 0.0)
+    x[2, 3] = np.nan
+    a = MatrixFrame.from_numpy(spark, x)
+    mask = spark.createDataFrame([(i, j) for i in range(7) for j in range(23) if (i * 3 + j) % 5 == 0] * 2 + [(1, 99)], "i long, j long")
+    for what in (mask, ("zeros", mask)):
+        here = nmf(a, 2, maxit=3, tol=0.0, mask=what, local_nnz=10**6)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(passes, "PART_VALUES", 5)
+            there = nmf(a, 2, maxit=3, tol=0.0, mask=what, local_nnz=0)
+            assert isinstance(Fit(a, Config(k=2, mask=what, local_nnz=0)).plan.mask, bool)  # nothing of the mask's length on the driver
+        assert np.allclose(here.w, there.w) and np.allclose(here.d, there.d) and np.allclose(here.h_numpy(), there.h_numpy())
+        held = [nmf(a, 2, maxit=3, tol=0.0, mask=what, test_fraction=0.2, local_nnz=n) for n in (10**6, 0)]
+        assert np.allclose(held[0].misc["test_history"], held[1].misc["test_history"])
