@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -14,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .models import NMF, SVD
-from .neighbours import knn
+from .neighbours import REF_VALUES, TILE, dealt, distances, knn, matrix, pairs, products, query_blocks, squares, too_large
+from .passes import listed
 
 MIN_CLASS = 10
+NEAR_SHARE = 1e-4  # of the squared lengths: closer pairs are not left to the product
 
 
 def embedding(model: NMF | SVD) -> DataFrame:
@@ -107,37 +110,89 @@ def auc(scored: DataFrame, score: str = "score", positive: str = "positive", mid
 # ---------------------------------------------------------------- geometry
 
 
-def silhouette(emb: DataFrame, labels: DataFrame, per_class: int | None = 200, seed: int = 1) -> DataFrame:
-    """(id, label, s). Means to at most per_class members of each class (all with None), the sample itself included."""
-    e = emb.join(labels.where("label is not null"), "id")
+def silhouette(emb: DataFrame, labels: DataFrame, per_class: int | None = None, seed: int = 1, ref_values: int = REF_VALUES) -> DataFrame:
+    """(id, label, s). Means to all members of each class (to at most per_class of them if it is given), the sample itself included.
+
+    References beyond ref_values numbers are dealt into blocks, whose sums by class are added up."""
+    spark = emb.sparkSession
+    e = emb.join(labels.where("label is not null"), "id").select("id", F.col("label").cast("string").alias("label"), "x")
+    refs = e
     if per_class is not None:
         w = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id")
         refs = e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_class).drop("r")
-    else:
-        refs = e
-    p = refs.toPandas()
-    if not len(p):
-        return emb.sparkSession.createDataFrame([], "id long, label string, s double")
-    names = sorted(p["label"].unique())
-    groups = [np.stack([np.asarray(v, float) for v in p.loc[p["label"] == c, "x"]]) for c in names]
-    shared = emb.sparkSession.sparkContext.broadcast(([str(c) for c in names], groups))
-
-    def run(it):
-        classes, parts = shared.value
-        for pdf in it:
-            if not len(pdf):
-                continue
-            x = np.stack([np.asarray(v, float) for v in pdf["x"]])
-            d = np.stack([np.sqrt(((x[:, None, :] - g[None, :, :]) ** 2).sum(axis=2)).mean(axis=1) for g in parts], axis=1)
-            own = np.array([classes.index(c) for c in pdf["label"].astype(str)])
-            a = d[np.arange(len(x)), own]
-            d[np.arange(len(x)), own] = np.inf
-            b = d.min(axis=1)
-            top = np.maximum(a, b)
-            s = np.where(np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
-            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"].astype(str), "s": s})
-
-    return e.select("id", "label", "x").mapInPandas(run, "id long, label string, s double")
+    sizes = refs.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).orderBy("label").collect()  # a row a class
+    if not sizes:
+        return spark.createDataFrame([], "id long, label string, s double")
+    names, n, width = [r["label"] for r in sizes], np.array([r["n"] for r in sizes]), max(r["width"] for r in sizes)
+    blocks = max(1, -(-int(n.sum()) * width // ref_values))
+    if blocks == 1:
+        shared = spark.sparkContext.broadcast(by_class(refs.toArrow(), names))
+
+        def run(it):
+            for batch in it:
+                sums = class_sums(matrix(batch.column("x")), *shared.value, len(names))
+                own = np.searchsorted(names, batch.column("label").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("label"), pa.array(scores(sums / n, own))], ["id", "label", "s"])
+
+        return dealt(e).mapInArrow(run, "id long, label string, s double")
+    mine = query_blocks(e, width, blocks, ref_values)
+    q = e.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    fresh = [F.col(c).alias(c) for c in ("id", "label", "x")]  # else columns of the two sides are the same ones
+    r = refs.select(*fresh).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(mine - 1)))).withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        sums = class_sums(matrix(q["x"]), *by_class(r, names), len(names)) if len(q) and len(r) else np.zeros((len(q), len(names)))
+        return pa.table({"id": q["id"].cast(pa.int64()), "label": q["label"], "sums": listed(sums)})
+
+    parts = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(meet, "id long, label string, sums array<double>")
+    total = parts.groupBy("id", "label").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(len(names))]).alias("sums"))
+
+    def last(it):
+        for batch in it:
+            own = np.searchsorted(names, batch.column("label").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(scores(matrix(batch.column("sums")) / n, own))], ["id", "label", "s"])
+
+    return total.mapInArrow(last, "id long, label string, s double")
+
+
+def by_class(t: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Class numbers, which rise, and vectors."""
+    c = np.searchsorted(names, t["label"].to_numpy())
+    o = np.argsort(c, kind="stable")
+    return c[o], matrix(t["x"])[o]
+
+
+def class_sums(x: np.ndarray, c: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the distances of each row of x to the rows of y of each class; near ones are computed by differences."""
+    out = np.zeros((len(x), n))
+    if not len(x):
+        return out
+    xx, yy = squares(x), squares(y)
+    plain = too_large(xx, yy)
+    for b in range(0, len(y), TILE[1]):
+        t = slice(b, b + TILE[1])
+        start = np.flatnonzero(np.append(True, c[t][1:] != c[t][:-1]))
+        for a in range(0, len(x), TILE[0]):
+            s = slice(a, a + TILE[0])
+            if plain:
+                d = distances(x[s], y[t], "euclidean")
+            else:
+                d = products(x[s], y[t], xx[s], yy[t])
+                r, q = np.nonzero(d < NEAR_SHARE * (xx[s].max() + yy[t].max()))
+                d[r, q] = 0.0
+                d = np.sqrt(d, out=d)
+                d[r, q] = pairs(x[s], y[t], r, q)
+            out[s, c[t][start]] += np.add.reduceat(d, start, axis=1)
+    return out
+
+
+def scores(means: np.ndarray, own: np.ndarray) -> np.ndarray:
+    at = np.arange(len(means))
+    a = means[at, own]
+    means[at, own] = np.inf
+    b = means.min(axis=1)
+    top = np.maximum(a, b)
+    return np.where(np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
 
 
 def batch_mixing(emb: DataFrame, batch: DataFrame, k: int = 15) -> DataFrame:
@@ -238,7 +293,7 @@ def assess(emb: DataFrame, labels: DataFrame, batch: DataFrame | None = None, me
     lab = labels.join(big.select("label"), "label", "left_semi").select("id", "label")
     k = big.count()
     out: list[tuple[str, float]] = []
-    e = emb.join(lab.select("id"), "id")
+    e = emb.join(lab.select("id"), "id").persist()
     if {"ari", "nmi"} & set(metrics) and k > 1:
         pairs = kmeans(e, k, seed, starts).join(lab, "id").persist()
         out += [(m, float(f(pairs).first()[0])) for m, f in (("ari", ari), ("nmi", nmi)) if m in metrics]
@@ -254,7 +309,9 @@ def assess(emb: DataFrame, labels: DataFrame, batch: DataFrame | None = None, me
             x = scaled(e, tr) if name != "forest" else e
             p = knn_predict(x, tr, te, k_nn) if name == "knn" else _ml(x, tr, te, OneVsRest(classifier=LogisticRegression(regParam=0.0)) if name == "logistic" else RandomForestClassifier(numTrees=trees, seed=seed))
             preds = p if preds is None else preds.unionByName(p)
+        preds = preds.persist()  # several aggregates read it
         r = overall(preds).first()
+        preds.unpersist()
         out += [(f"{name}_{m}", float(r[m])) for m in ("accuracy", "macro_precision", "macro_recall", "macro_f1")]
     if batch is not None:
         out.append(("batch_mixing", float(batch_mixing(emb, batch, k_nn).agg(F.avg("entropy")).first()[0] or 0.0)))
