@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from .nmf import Config, Fit, initial_w, lengths
 from .solve import EPS, nnls_each
 
 MAX_DENSE = 20_000_000
+ZERO_VALUES = 131_072  # expected zeros held at once
+ZERO_TASK = 1_000_000_000  # of a task
 
 
 def upper_median(df: DataFrame, col: str) -> float:
@@ -89,23 +92,34 @@ def score_test_fit(fit: DataFrame, powers: tuple[float, ...] = (0.0, 1.0, 2.0, 3
 
 def zero_inflation(a: MatrixFrame, model: NMF, threshold: float = 0.05) -> dict:
     """Zeros beyond the Poisson ones by row and column; expected zeros need all m n entries, made in blocks of H."""
-    w, d, m = model.w, model.d, a.m
-    shared = model.h.sparkSession.sparkContext.broadcast(w * d)
+    m, k, held = a.m, model.k, ZERO_VALUES
+    shared = model.h.sparkSession.sparkContext.broadcast(np.ascontiguousarray((model.w * model.d).T))
 
     def run(it):
-        rows = np.zeros(m)
-        for p in it:
-            x = np.exp(-np.maximum(np.stack(p["h"].to_numpy()) @ shared.value.T, 0))
-            rows += x.sum(axis=0)
-            yield pd.DataFrame({"kind": "col", "key": p["j"].to_numpy(), "expected": x.sum(axis=1)})
-        yield pd.DataFrame({"kind": "row", "key": np.arange(m), "expected": rows})
-
-    exp = model.h.mapInPandas(run, "kind string, key long, expected double").groupBy("kind", "key").agg(F.sum("expected").alias("expected"))
+        wt, rows = shared.value, np.zeros(m)
+        wide = min(m, held)
+        step = max(1, held // max(1, wide))
+        for batch in it:
+            h = batch.column("h").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            cols = np.zeros(len(h))
+            for s in range(0, len(h), step):
+                for c in range(0, m, wide):
+                    x = h[s : s + step] @ wt[:, c : c + wide]
+                    np.negative(np.maximum(x, 0, out=x), out=x)
+                    np.exp(x, out=x)
+                    rows[c : c + wide] += x.sum(axis=0)
+                    cols[s : s + step] += x.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(["col"] * len(h)), batch.column("j").cast(pa.int64()), pa.array(cols)], ["kind", "key", "expected"])
+        yield pa.RecordBatch.from_arrays([pa.array(["row"] * m), pa.array(np.arange(m)), pa.array(rows)], ["kind", "key", "expected"])
+
+    h = model.h.repartition(max(1, min(-(-a.n // 256), max(-(-a.n * m // ZERO_TASK), model.h.sparkSession.sparkContext.defaultParallelism))))
+    exp = h.select("j", "h").mapInArrow(run, "kind string, key long, expected double").groupBy("kind", "key").agg(F.sum("expected").alias("expected")).persist()
     out = {}
     for kind, stats, key, of in (("row", a.row_stats(), "i", a.n), ("col", a.column_stats(), "j", a.m)):
         e = stats.join(exp.where(F.col("kind") == kind), stats[key] == exp["key"]).select((F.greatest((F.col("zeros") - F.col("expected")) / of, F.lit(0.0))).alias("excess"))
         r = e.agg(F.avg("excess"), F.var_samp("excess")).first()
         out[kind] = (float(r[0] or 0.0), float(r[1] or 0.0))
+    exp.unpersist()
     excess = out["row"][0]
     mode = "none" if excess <= threshold else "row" if out["row"][1] >= out["col"][1] and out["row"][1] > 0.001 else "col" if out["col"][1] > 0.001 else "row"
     return {"excess": excess, "row_variance": out["row"][1], "col_variance": out["col"][1], "zero_inflated": excess > threshold, "mode": mode}
