@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import held_out, normal
 from ..sources.matrix import MatrixFrame
 from .models import SVD, frame
-from .passes import LOCAL_NNZ, Block, Samples, sum_to
+from .passes import LOCAL_NNZ, Block, Samples, products, sum_to
 
 METHODS = ("auto", "lanczos", "irlba", "randomized", "deflation", "krylov")
 
@@ -52,7 +52,7 @@ class Operator:
         m, l = q.shape
 
         def one(b: Block, x: np.ndarray) -> np.ndarray:
-            t = _products(b, x) - off
+            t = products(b, x) - off
             out = np.zeros((m + l + 1, l))
             for c in range(l):
                 out[:m, c] = np.bincount(b.idx, b.val * t[b.col, c], m)
@@ -84,20 +84,11 @@ class Operator:
         by = np.where(d > 0, d, 1.0)
 
         def one(b: Block) -> np.ndarray:
-            return (_products(b, x) - off) / by
-
-        if self.data.local:
-            v = np.concatenate([one(b) for b in self.data.blocks]) if self.data.blocks else np.empty((0, len(d)))
-            return frame(self.data.frame.entries.sparkSession, v, "j", "v")
+            return (products(b, x) - off) / by
 
         return self.data.each(one, "j", "v")
 
 
-def _products(b: Block, x: np.ndarray) -> np.ndarray:
-    """A'X of the block's samples."""
-    return np.stack([np.bincount(b.col, b.val * x[b.idx, c], len(b.keys)) for c in range(x.shape[1])], axis=1)
-
-
 def _moments(b: Block, m: int) -> np.ndarray:
     return sum_to(b.idx, np.stack([b.val, b.val**2], axis=1), m)
 

@@ -2,10 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factorlake.operators import cluster, dispersion, passes
 from factorlake.operators import graph as G
-from factorlake.operators import passes
 from factorlake.operators.assess import auc
-from factorlake.operators.cluster import consensus_nmf, dclust, split_dense, tree_table
+from factorlake.operators.cluster import bipartition, connectivity, consensus_nmf, dclust, split_dense, tree_table
 from factorlake.operators.guide import refine, target
 from factorlake.operators.models import NMF
 from factorlake.operators.nmf import Config, Fit, auto_rank, nmf, nnls_fit, project
@@ -261,3 +261,36 @@ def test_masks_stay_with_the_samples_in_tasks(spark):
         assert np.allclose(here.w, there.w) and np.allclose(here.d, there.d) and np.allclose(here.h_numpy(), there.h_numpy())
         held = [nmf(a, 2, maxit=3, tol=0.0, mask=what, test_fraction=0.2, local_nnz=n) for n in (10**6, 0)]
         assert np.allclose(held[0].misc["test_history"], held[1].misc["test_history"])
+
+
+def test_splits_in_tasks_and_pairs_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = np.where(rng.random((6, 40)) < 0.7, rng.random((6, 40)), 0.0)
+    x[:3, :15] += 3
+    want = split_dense(x)
+    for nnz in (10**6, 0):  # a matrix over the driver's bound was an error
+        s = bipartition(MatrixFrame.from_numpy(spark, x), local_nnz=nnz)
+        assert (s.cluster == want.cluster).all() and s.iterations == want.iterations and (s.samples == np.arange(40)).all()
+        assert np.allclose(s.v, want.v) and np.allclose(s.center0, want.center0) and np.allclose(s.center1, want.center1) and np.isclose(s.dist, want.dist)
+    some = [3, 1, 20, 39, 5, 22]
+    s, want = bipartition(MatrixFrame.from_numpy(spark, x), some, local_nnz=0), split_dense(x[:, some])
+    assert (s.cluster == want.cluster).all() and (s.samples == np.array(some)).all()
+    rows = [(r, i, (i * r) % 4 if i % 7 else None) for r in range(1, 4) for i in range(0, 90, 2)] + [(1, 4, 0), (2, 6, 12), (2, 8, 12)]
+    assign = spark.createDataFrame(rows, "rep long, i long, cluster long")
+    monkeypatch.setattr(cluster, "PAIR_ROWS", 50)
+    one, two = (sorted(map(tuple, connectivity(assign, 3, held).collect())) for held in (10**6, 0))
+    assert one == two and len(one) > 400
+
+
+def test_expected_zeros_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((9, 30)) < 0.3, 2.0, 0.0)
+    a, w, h = MatrixFrame.from_numpy(spark, x), rng.random((9, 2)), rng.random((30, 2))
+    p = np.exp(-(w * np.array([2.0, 3.0])) @ h.T)
+    row = np.maximum(((x == 0).sum(axis=1) - p.sum(axis=1)) / 30, 0)
+    col = np.maximum(((x == 0).sum(axis=0) - p.sum(axis=0)) / 9, 0)
+    model = NMF(w, np.array([2.0, 3.0]), factor_frame(spark, h), 30)
+    for held in (4, 27, 10**6):
+        monkeypatch.setattr(dispersion, "ZERO_VALUES", held)
+        z = dispersion.zero_inflation(a, model)
+        assert np.isclose(z["excess"], row.mean()) and np.isclose(z["row_variance"], row.var(ddof=1)) and np.isclose(z["col_variance"], col.var(ddof=1))
