@@ -294,3 +294,25 @@ def test_expected_zeros_in_parts(spark, monkeypatch):
         monkeypatch.setattr(dispersion, "ZERO_VALUES", held)
         z = dispersion.zero_inflation(a, model)
         assert np.isclose(z["excess"], row.mean()) and np.isclose(z["row_variance"], row.var(ddof=1)) and np.isclose(z["col_variance"], col.var(ddof=1))
+
+
+def test_trees_do_not_depend_on_where_clusters_are_split(spark):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((6, 60)) < 0.8, rng.random((6, 60)), 0.0)
+    for c in range(4):
+        x[c, c * 15 : (c + 1) * 15] += 4
+    x[:, 7] = 0.0  # a sample without entries
+    a = MatrixFrame.from_numpy(spark, x)
+
+    def tree(path: str, cols: np.ndarray) -> dict:
+        s = split_dense(x[:, cols], calc_dist=False) if len(cols) >= 8 else None
+        if s is None or min(s.size0, s.size1) < 4:
+            return {path: cols.tolist()}
+        return tree(path + "0", cols[s.cluster == 0]) | tree(path + "1", cols[s.cluster == 1])
+
+    want = tree("", np.arange(60))
+    assert len(want) > 3
+    for task, whole in ((10**6, 10**6), (10**6, 0), (100, 60)):
+        got = {r["id"]: r for r in dclust(a, min_samples=4, task_entries=task, tree_entries=whole).collect()}
+        assert {k: list(r["samples"]) for k, r in got.items()} == want
+        assert all(np.allclose(r["center"], x[:, want[k]].mean(axis=1)) for k, r in got.items())
